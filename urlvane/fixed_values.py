@@ -125,7 +125,7 @@ ALERT_TEXTS = {
     "base": "Edge phishing classification result.",
 }
 
-# --- Special-purpose IPv4 blocks that are not globally reachable ----------
+# --- Special-purpose address blocks that are not globally reachable ----------
 # Blocks and exceptions of the public IANA special-purpose address registry.
 NON_GLOBAL_IPV4 = [
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8",
@@ -135,6 +135,16 @@ NON_GLOBAL_IPV4 = [
 ]
 GLOBAL_IPV4_EXCEPTIONS = ["192.0.0.9/32", "192.0.0.10/32"]
 
+NON_GLOBAL_IPV6 = [
+    "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64",
+    "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7",
+    "fe80::/10",
+]
+GLOBAL_IPV6_EXCEPTIONS = [
+    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
+    "2001:20::/28", "2001:30::/28",
+]
+
 # --- Characters a host may not hold because they fold to URL delimiters ---
 HOST_FOLDING_CHARACTERS = (
     "⁇⁈⁉℀℁℅℆⩴︓︖﹕﹖"

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
+from urlvane.functions.columns import settle
 
 # A dotted quad without leading zeros, as the strict address parsers read it.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -30,102 +31,67 @@ def _ipv6_pattern() -> str:
 
 IPV6 = _ipv6_pattern()
 
-PARTS = [
-    "scheme", "netloc", "host", "port_text", "path", "query", "fragment",
-    "username", "password", "malformed",
-]
+PARTS = ["web", "scheme", "netloc", "host", "port_text", "path", "query", "fragment", "username", "password"]
+
+# One match cuts a URL text into scheme, netloc, path, query and fragment.
+_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+# One match cuts a netloc into user info, bracketed host, port after it, plain host, port.
+_NETLOC = r"(?s)^(?:(.*)@)?(?:[^\[]*\[([^\]]*)\]?:?(.*)|([^:]*):?(.*))$"
+_CUT = "\x01"
+_FOLD = fv.HOST_FOLDING_CHARACTERS
+# http or https with a host that a strict splitter accepts: brackets only around an
+# IPv6 or future address, no character that folds to a delimiter.
+WEB = (
+    rf"^(?i:https?)://(?:[^/?#\[\]{_FOLD}]*@)?"
+    rf"(?:[^/?#\[\]:@{_FOLD}]+|\[(?:{IPV6}|v[0-9A-Fa-f]+\.[^/?#\]]+)\])"
+    rf"(?::[^/?#\[\]@{_FOLD}]*)?(?:[/?#]|$)"
+)
 
 
 def _after(text: Column, head: Column, skip: int = 0) -> Column:
     return F.substring(text, F.length(head) + F.lit(skip + 1), F.length(text))
 
 
+def _cleaned(url: Column) -> Column:
+    """Without leading blanks and control characters, and without tabs and line ends."""
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+
+def is_web_url(url: Column | str) -> Column:
+    """One match on the text, cheap to push below a projection or to a scan."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.coalesce(_cleaned(url).rlike(WEB), F.lit(False))
+
+
 def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "u_") -> DataFrame:
-    """Add scheme, netloc, host, port text, path, query, fragment, user and password.
+    """Add web, scheme, netloc, host, port text, path, query, fragment, user and password.
 
-    `malformed` is true where a strict splitter would refuse the text. Each step
-    is its own projection, so no expression is evaluated twice per row.
+    Two matches do the cutting; the rest are cheap look-ups in the cut texts.
     """
     p = prefix
-    col = F.col
-    df = df.withColumn(
-        f"{p}clean",
-        F.regexp_replace(F.regexp_replace(col(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""),
-    )
-    df = df.withColumn(
-        f"{p}scheme0", F.regexp_extract(f"{p}clean", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    cut = lambda text, pattern, groups: F.split(
+        F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1))), _CUT
     )
-    df = df.withColumn(
-        f"{p}rest",
-        F.when(col(f"{p}scheme0") != "", _after(col(f"{p}clean"), col(f"{p}scheme0"), 1))
-        .otherwise(col(f"{p}clean")),
-    )
-    df = df.withColumn(f"{p}netloc", F.regexp_extract(f"{p}rest", r"^//([^/?#]*)", 1))
-    df = df.withColumn(
-        f"{p}tail",
-        F.when(F.startswith(col(f"{p}rest"), F.lit("//")), _after(col(f"{p}rest"), col(f"{p}netloc"), 2))
-        .otherwise(col(f"{p}rest")),
-    )
-    df = df.withColumns({
-        f"{p}nofrag": F.substring_index(f"{p}tail", "#", 1),
-        f"{p}hostport": F.substring_index(f"{p}netloc", "@", -1),
-    })
+    df = df.withColumn(f"{p}clean", _cleaned(F.translate(F.col(url), _CUT, " ")))
+    df = df.withColumn(f"{p}cut", cut(F.col(f"{p}clean"), _SPLIT, 5))
+    piece = lambda i: F.get(f"{p}cut", F.lit(i))
     df = df.withColumns({
-        f"{p}path": F.substring_index(f"{p}nofrag", "?", 1),
-        f"{p}open": F.instr(f"{p}hostport", "["),
+        f"{p}web": F.coalesce(F.col(f"{p}clean").rlike(WEB), F.lit(False)),
+        f"{p}scheme": F.lower(piece(0)), f"{p}netloc": piece(1), f"{p}path": piece(2),
+        f"{p}query": piece(3), f"{p}fragment": piece(4),
+        f"{p}place": cut(piece(1), _NETLOC, 5),
     })
-    bracketed = F.substring(col(f"{p}hostport"), col(f"{p}open") + 1, F.length(f"{p}hostport"))
+    place = lambda i: F.get(f"{p}place", F.lit(i))
     df = df.withColumns({
-        f"{p}rawhost": F.when(col(f"{p}open") > 0, F.substring_index(bracketed, "]", 1))
-        .otherwise(F.substring_index(f"{p}hostport", ":", 1)),
+        f"{p}rawhost": F.concat(place(1), place(3)),
+        f"{p}port_text": F.concat(place(2), place(4)),
+        f"{p}username": F.substring_index(place(0), ":", 1),
+        f"{p}password": F.regexp_extract(place(0), r"(?s)^[^:]*:(.*)$", 1),
     })
-    after_bracket = F.when(
-        F.contains(bracketed, F.lit("]")), _after(bracketed, col(f"{p}rawhost"), 1)
-    ).otherwise(F.lit(""))
-    userinfo = F.when(
-        F.contains(col(f"{p}netloc"), F.lit("@")),
-        F.substring(
-            col(f"{p}netloc"), F.lit(1),
-            F.length(f"{p}netloc") - F.length(f"{p}hostport") - 1,
-        ),
-    )
-    df = df.withColumns({f"{p}afterhost": after_bracket, f"{p}userinfo": userinfo})
-    zone_free = F.substring_index(f"{p}rawhost", "%", 1)
-    has_open = F.contains(col(f"{p}netloc"), F.lit("["))
-    has_close = F.contains(col(f"{p}netloc"), F.lit("]"))
-    literal_ok = (
-        col(f"{p}rawhost").rlike(rf"^(?:{IPV6})$")
-        | col(f"{p}rawhost").rlike(r"^v[0-9A-Fa-f]+\..+$")
-    )
-    bracket_bad = (
-        (has_open != has_close)
-        | (
-            has_open & has_close
-            & (
-                (col(f"{p}open") != 1)
-                | ~literal_ok
-                | ((col(f"{p}afterhost") != "") & ~F.startswith(col(f"{p}afterhost"), F.lit(":")))
-            )
-        )
-    )
-    folds = col(f"{p}netloc").rlike(f"[{fv.HOST_FOLDING_CHARACTERS}]")
-    df = df.withColumns({
-        f"{p}scheme": F.lower(f"{p}scheme0"),
-        f"{p}host": F.concat(F.lower(zone_free), _after(col(f"{p}rawhost"), zone_free)),
-        f"{p}port_text": F.when(col(f"{p}open") > 0, F.substring(f"{p}afterhost", 2, 10000))
-        .otherwise(_after(col(f"{p}hostport"), col(f"{p}rawhost"), 1)),
-        f"{p}query": _after(col(f"{p}nofrag"), col(f"{p}path"), 1),
-        f"{p}fragment": _after(col(f"{p}tail"), col(f"{p}nofrag"), 1),
-        f"{p}username": F.substring_index(f"{p}userinfo", ":", 1),
-        f"{p}password": F.when(
-            F.contains(col(f"{p}userinfo"), F.lit(":")),
-            _after(col(f"{p}userinfo"), F.substring_index(f"{p}userinfo", ":", 1), 1),
-        ),
-        f"{p}malformed": F.coalesce(bracket_bad | folds, F.lit(True)),
-    })
-    helpers = ["clean", "scheme0", "rest", "tail", "nofrag", "hostport", "open",
-               "rawhost", "afterhost", "userinfo"]
-    return df.drop(*[p + name for name in helpers])
+    host = F.col(f"{p}rawhost")
+    lowered = F.when(F.contains(host, F.lit("%")), F.concat(F.lower(F.substring_index(host, "%", 1)), F.regexp_extract(host, "%.*", 0)))
+    df = df.withColumn(f"{p}host", lowered.otherwise(F.lower(host)))
+    return df.drop(*[p + name for name in ("clean", "cut", "place", "rawhost")])
 
 
 def drop_url_parts(df: DataFrame, prefix: str = "u_") -> DataFrame:
@@ -134,18 +100,11 @@ def drop_url_parts(df: DataFrame, prefix: str = "u_") -> DataFrame:
 
 def is_web(prefix: str = "u_") -> Column:
     """http or https with a host, and splittable."""
-    return (
-        ~F.col(prefix + "malformed")
-        & F.col(prefix + "scheme").isin(fv.WEB_SCHEMES)
-        & (F.col(prefix + "host") != "")
-    )
+    return F.col(prefix + "web")
 
 
 def has_credentials(prefix: str = "u_") -> Column:
-    return F.coalesce(
-        (F.col(prefix + "username") != "") | (F.coalesce(F.col(prefix + "password"), F.lit("")) != ""),
-        F.lit(False),
-    )
+    return F.coalesce((F.col(prefix + "username") != "") | (F.col(prefix + "password") != ""), F.lit(False))
 
 
 def is_ip_host(host: Column | str) -> Column:
@@ -306,12 +265,11 @@ def canonical_url(df: DataFrame, url: str = "url", out: str = "canonical_url",
     escapes_ok = ~F.concat(c("path"), F.lit("#"), c("fragment")).rlike(r"%(?![0-9A-Fa-f]{2})")
     control = raw.rlike(r"[\x00-\x1F\x7F]") | raw.rlike(r"^ ")
     parsed = ~control & port_ok & host_ok & user_ok & escapes_ok & (c("host") != "")
-    df = df.withColumn(
-        error,
-        F.when(raw.isNull() | (F.octet_length(raw) == 0) | (F.octet_length(raw) > fv.MAX_URL_LENGTH), "invalid URL length")
+    df = settle(df, {
+        error: F.when(raw.isNull() | (F.octet_length(raw) == 0) | (F.octet_length(raw) > fv.MAX_URL_LENGTH), "invalid URL length")
         .when(~F.coalesce(parsed, F.lit(False)), "invalid URL")
         .when(~c("scheme").isin(fv.WEB_SCHEMES), "unsupported URL scheme"),
-    )
+    })
     path = F.when(c("path").rlike(_VALID_PATH), c("path")).otherwise(
         _path_escape(F.try_url_decode(F.replace(c("path"), F.lit("+"), F.lit("%2B"))))
     )
@@ -320,7 +278,7 @@ def canonical_url(df: DataFrame, url: str = "url", out: str = "canonical_url",
         hostport.rlike(r"[^\x00-\x7F]"),
         _escape_unsafe(hostport, r"[^\x00-\x7F]", "~!$&'()*+,;=:[]<>\""),
     ).otherwise(hostport)
-    df = df.withColumns({
+    df = settle(df, {
         out: F.when(
             F.col(error).isNull(),
             F.concat(c("scheme"), F.lit("://"), shown_host, path,
@@ -351,7 +309,7 @@ def browser_url(df: DataFrame, url: str = "url", out: str = "browser_url",
     path = _escape_unsafe(path, r"""[^\x21-\x7E]|["<>`{}^]""", "/:@!$&'()*+,;=~[]|\\%")
     query = _escape_unsafe(c("query"), r"""[^\x21-\x7E]|["<>']""", "/:@!$&()*+,;=~[]|\\%?`{}^")
     query = browser_query(query, c("host"))
-    df = df.withColumns({
+    df = settle(df, {
         host: F.when(usable, c("host")),
         out: F.when(
             usable,

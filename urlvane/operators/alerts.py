@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
+from urlvane.functions.columns import settle
 
 
 def alert_role(status: Column, source: Column, provider: str) -> Column:
@@ -51,7 +52,7 @@ def assign_alerts(df: DataFrame, provider: str, staging: bool = False,
     The policy has six fixed roles, so it is applied as one expression, not as a join.
     """
     policy = alert_policy(provider, staging, levels)
-    df = df.withColumn("role", alert_role(F.col("status"), F.col("source"), provider))
+    df = settle(df, {"role": alert_role(F.col("status"), F.col("source"), provider)})
 
     def pick(value) -> Column:
         chosen = F.when(F.lit(False), F.lit(None))

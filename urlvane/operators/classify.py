@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
+from urlvane.functions.columns import settle
 from urlvane.settings import Settings
 
 
@@ -41,7 +42,7 @@ def classify_navigation(df: DataFrame, settings: Settings, provider: str | None
 
     if settings.ml_enabled:
         review = F.lit(settings.review_threshold)
-        df = df.withColumn("_band", F.when(~confirmed, ml_band(c("score"), c("threshold"), review)))
+        df = settle(df, {"_band": F.when(~confirmed, ml_band(c("score"), c("threshold"), review))})
         bad = ~confirmed & c("_band").isNull()
         bad_text = F.lit("review_threshold must be lower than the effective threshold")
     else:
@@ -64,7 +65,7 @@ def classify_navigation(df: DataFrame, settings: Settings, provider: str | None
         .when(scored, "ml").otherwise(provider)
     )
     keep = lambda name: F.when(scored & ~bad, c(name))
-    return df.withColumns({
+    return settle(df, {
         "status": status,
         "malicious": F.coalesce(F.when(bad, False).when(confirmed, True).otherwise(band == "suspicious"), F.lit(False)),
         "source": source,

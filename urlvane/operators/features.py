@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
 from urlvane.functions import urls
+from urlvane.functions.columns import settle
 
 
 def _flag(condition: Column) -> Column:
@@ -49,7 +50,7 @@ def url_features_modern(df: DataFrame, url: str = "url") -> DataFrame:
     }
     ok = urls.is_web(p)
     df = df.withColumn("feature_error", F.when(~ok, "URL must be HTTP or HTTPS with a hostname"))
-    df = df.withColumns({name: F.when(ok, values[name].cast("double")) for name in fv.MODERN_FEATURES})
+    df = settle(df, {name: F.when(ok, values[name].cast("double")) for name in fv.MODERN_FEATURES})
     return urls.drop_url_parts(df, p)
 
 
@@ -73,7 +74,7 @@ def legacy_lexical(df: DataFrame, url: str = "url") -> DataFrame:
         F.when(~urls.is_web(p), "URL must be HTTP or HTTPS with a hostname")
         .when(urls.has_credentials(p), "URL must not contain embedded credentials")
     )
-    df = df.withColumns({"feature_error": error, "site_domain": urls.site_domain(netloc), "feature_host": F.col(p + "host")})
+    df = settle(df, {"feature_error": error, "site_domain": urls.site_domain(netloc), "feature_host": F.col(p + "host")})
     df = df.withColumns({k: F.when(F.col("feature_error").isNull(), v) for k, v in values.items()})
     return urls.drop_url_parts(df, p)
 

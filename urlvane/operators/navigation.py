@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv, schemas
 from urlvane.functions import times, urls
+from urlvane.functions.columns import settle
 from urlvane.operators.ordered import anchored_windows
 
 
 def filter_web_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    df = urls.with_url_parts(df, url, "_w_")
-    return urls.drop_url_parts(df.filter(urls.is_web("_w_")), "_w_")
+    return df.filter(urls.is_web_url(url))
 
 
 def filter_top_level(df: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -80,7 +80,7 @@ def validate_nav_event(df: DataFrame) -> DataFrame:
     error = error.when(c("_url_error").isNotNull(), c("_url_error")).when(
         (supplied != "") & (F.lower(supplied) != c("_host")), "url_host does not match URL"
     )
-    df = df.withColumn("error", error)
+    df = settle(df, {"error": error})
     fine = c("error").isNull()
     return df.withColumns({
         "accepted": fine,
@@ -105,17 +105,16 @@ def acknowledgements(validated: DataFrame) -> DataFrame:
 def parse_nav_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Decode one JSON event per line, telling broken JSON from wrong field types."""
     loose = F.from_json(F.col(value), "map<string,string>", {"mode": "PERMISSIVE"})
-    wide = schemas.NAVIGATION.add("_bad", "string")
+    wide = schemas.with_corrupt(schemas.NAVIGATION, "_bad")
     strict = F.from_json(F.col(value), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     df = lines.withColumns({"_loose": loose, "_event": strict})
     corrupt = F.when(F.col("_loose").isNull(), F.col(value))
     mistyped = F.col("_loose").isNotNull() & F.col("_event._bad").isNotNull()
-    names = [f.name for f in schemas.NAVIGATION.fields if f.name != "_bad"]
+    names = schemas.NAVIGATION.fieldNames()
     fields = {n: F.col(f"_event.{n}") for n in names}
     fields["event_id"] = F.coalesce(fields["event_id"], F.col("_loose")["event_id"])
-    return df.select(
-        *[fields[n].alias(n) for n in names], corrupt.alias("_corrupt"), mistyped.alias("_mistyped")
-    )
+    values = {n: fields[n] for n in names}
+    return settle(df, {**values, "_corrupt": corrupt, "_mistyped": mistyped}).select(*names, "_corrupt", "_mistyped")
 
 
 def validate_alert(df: DataFrame, rule_id: str = fv.NAVIGATION_RULE_ID) -> DataFrame:
@@ -123,8 +122,7 @@ def validate_alert(df: DataFrame, rule_id: str = fv.NAVIGATION_RULE_ID) -> DataF
     df = urls.with_url_parts(df.withColumn("_url", F.col("data.url")), "_url", "_a_")
     same = lambda column, value: F.coalesce(F.col(column) == value, F.lit(False))
     event_id = F.col("data.event_id")
-    df = df.withColumn(
-        "error",
+    error = (
         F.when(F.col("rule.id").isNull() | F.col("data").isNull() | F.col("agent").isNull(),
                "alert is missing required fields")
         .when(~same("rule.id", rule_id), f"alert did not originate from navigation rule {rule_id}")
@@ -135,8 +133,9 @@ def validate_alert(df: DataFrame, rule_id: str = fv.NAVIGATION_RULE_ID) -> DataF
         .when(~urls.is_web("_a_"), "alert URL is not HTTP or HTTPS")
         .when(urls.has_credentials("_a_"), "alert URL contains credentials")
         .when(event_id.isNull() | (event_id == "") | (F.length(event_id) > fv.MAX_ID_LENGTH),
-              "alert event_id is invalid"),
+              "alert event_id is invalid")
     )
+    df = settle(df, {"error": error})
     ok = lambda value: F.when(F.col("error").isNull(), value)
     return df.select(
         "*",

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv, schemas
 from urlvane.functions import times
+from urlvane.functions.urls import IPV4, IPV6
 
 
 def truthy(value: Column | str) -> Column:
@@ -108,42 +111,64 @@ def parse_provider_response(df: DataFrame, provider: str, body: str = "body",
     return df.drop("_object")
 
 
-def non_global_ranges(spark: SparkSession) -> DataFrame:
-    """Special-purpose IPv4 blocks as number ranges (a fixed table of a few rows)."""
-    rows = []
-    for listing, public in ((fv.NON_GLOBAL_IPV4, False), (fv.GLOBAL_IPV4_EXCEPTIONS, True)):
-        for block in listing:
-            net = ipaddress.ip_network(block)
-            rows.append((int(net.network_address), int(net.broadcast_address), public))
-    return spark.createDataFrame(rows, "lo long, hi long, public boolean")
-
-
 def ip_number(ip: Column) -> Column:
     """A dotted quad as a number; NULL for anything else."""
     octet = lambda i: F.try_element_at(F.split(ip, r"\."), F.lit(i)).try_cast("long")
     return octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
 
 
-def is_public_ip(ip: Column) -> Column:
-    """IPv4 outside every special-purpose block. The block table is fixed, so it is
-    written into the expression and costs neither a join nor a broadcast."""
-    number = ip_number(ip)
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 text as an array of numbers."""
+    sides = F.split(ip, "::")
+    numbers = lambda text: F.transform(
+        F.filter(F.split(F.coalesce(text, F.lit("")), ":"), lambda x: x != ""),
+        lambda x: F.conv(x, 16, 10).try_cast("long"),
+    )
+    left, right = numbers(F.get(sides, F.lit(0))), numbers(F.get(sides, F.lit(1)))
+    gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+    return F.concat(left, F.array_repeat(F.lit(0).cast("long"), gap), right)
+
+
+def _inside_v6(groups: Column, block: str) -> Column:
+    net = ipaddress.ip_network(block)
+    number, bits, tests = int(net.network_address), net.prefixlen, F.lit(True)
+    for i in range(8):
+        used = min(max(bits - 16 * i, 0), 16)
+        if used:
+            want = (number >> (112 - 16 * i)) & 0xFFFF
+            tests = tests & (F.shiftright(F.get(groups, F.lit(i)), 16 - used) == want >> (16 - used))
+    return tests
+
 
-    def inside(block: str) -> Column:
+def with_public_flag(df: DataFrame, ip: str = "ip", out: str = "public") -> DataFrame:
+    """Add whether an address lies outside every special-purpose block.
+
+    The block tables are fixed, so they are written into the expression and cost
+    neither a join nor a broadcast. Text that is no address is not public.
+    """
+    mapped = F.regexp_extract(F.lower(ip), rf"^::ffff:({IPV4})$", 1)
+    df = df.withColumns({
+        "_number": ip_number(F.when(mapped != "", mapped).otherwise(F.col(ip))),
+        "_groups": F.when((mapped == "") & F.col(ip).rlike(rf"^{IPV6}$"), ipv6_groups(F.col(ip))),
+        "_v4": (mapped != "") | F.col(ip).rlike(rf"^{IPV4}$"),
+    })
+
+    def within(block: str) -> Column:
         net = ipaddress.ip_network(block)
-        return number.between(int(net.network_address), int(net.broadcast_address))
+        return F.col("_number").between(int(net.network_address), int(net.broadcast_address))
 
-    private, exempt = F.lit(False), F.lit(False)
-    for block in fv.NON_GLOBAL_IPV4:
-        private = private | inside(block)
-    for block in fv.GLOBAL_IPV4_EXCEPTIONS:
-        exempt = exempt | inside(block)
-    return F.coalesce(~private | exempt, F.lit(False))
+    either = lambda tests: reduce(or_, tests)
+    v4 = ~either(map(within, fv.NON_GLOBAL_IPV4)) | either(map(within, fv.GLOBAL_IPV4_EXCEPTIONS))
+    v6 = ~either(_inside_v6(F.col("_groups"), b) for b in fv.NON_GLOBAL_IPV6) | either(
+        _inside_v6(F.col("_groups"), b) for b in fv.GLOBAL_IPV6_EXCEPTIONS
+    )
+    public = F.when(F.col("_v4"), v4).when(F.col("_groups").isNotNull(), v6)
+    return df.withColumn(out, F.coalesce(public, F.lit(False))).drop("_number", "_groups", "_v4")
 
 
 def filter_public_destination(df: DataFrame, resolution: DataFrame, host: str = "url_host") -> DataFrame:
     """Keep rows whose host resolves to public addresses only (at least one address)."""
-    verdict = resolution.groupBy(F.col("host").alias(host)).agg(
-        F.bool_and(is_public_ip(F.col("ip"))).alias("_public")
+    verdict = with_public_flag(resolution).groupBy(F.col("host").alias(host)).agg(
+        F.bool_and("public").alias("_public")
     ).filter("_public").select(host)
     return df.join(verdict, host, "left_semi")

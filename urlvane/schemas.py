@@ -61,3 +61,8 @@ WEB_RISK_RESPONSE = T.StructType([
         T.StructField("expireTime", T.StringType()),
     ])),
 ])
+
+
+def with_corrupt(schema: T.StructType, name: str = "_corrupt") -> T.StructType:
+    """A copy with a column for the text that could not be decoded."""
+    return T.StructType([*schema.fields, T.StructField(name, T.StringType())])
