@@ -12,8 +12,8 @@ from urlvane.settings import Settings
 
 
 def ml_band(score: Column, threshold: Column, review: Column) -> Column:
-    """suspicious / review / unlikely, or NULL where review is not below threshold."""
-    usable = (review >= 0) & (review < threshold)
+    """suspicious / review / unlikely, or NULL without a score or where review is not below threshold."""
+    usable = (review >= 0) & (review < threshold) & score.isNotNull()
     return F.when(
         usable,
         F.when(score >= threshold, "suspicious").when(score >= review, "review").otherwise("unlikely"),
@@ -44,7 +44,11 @@ def classify_navigation(df: DataFrame, settings: Settings, provider: str | None
         review = F.lit(settings.review_threshold)
         df = settle(df, {"_band": F.when(~confirmed, ml_band(c("score"), c("threshold"), review))})
         bad = ~confirmed & c("_band").isNull()
-        bad_text = F.lit("review_threshold must be lower than the effective threshold")
+        unscored = c("score").isNull()
+        bad_text = F.when(unscored, "URL must be HTTP or HTTPS with a hostname").otherwise(
+            "ml.review_threshold must be lower than the effective ML threshold"
+        )
+        bad_type = F.when(unscored, "ValueError").otherwise("ClassificationError")
     else:
         review = F.lit(None).cast("double")
         df = df.withColumns({
@@ -52,7 +56,7 @@ def classify_navigation(df: DataFrame, settings: Settings, provider: str | None
             "model_version": none, "model_kind": none, "calibrated": F.lit(None).cast("boolean"),
         })
         bad = failed
-        bad_text = c("rep_error")
+        bad_text, bad_type = c("rep_error"), F.lit("ClassificationError")
     band = c("_band")
     scored = ~confirmed & band.isNotNull()
     weak = failed & (band == "unlikely")
@@ -75,7 +79,7 @@ def classify_navigation(df: DataFrame, settings: Settings, provider: str | None
         "reputation_error": F.when(~bad & failed & ~weak, c("rep_error")),
         "ml_status": F.when(~bad & weak, "unlikely"),
         "error": F.when(bad, bad_text).when(weak, c("rep_error")),
-        "error_type": F.when(bad, "ClassificationError"),
+        "error_type": F.when(bad, bad_type),
         "score": keep("score"), "threshold": keep("threshold"),
         "review_threshold": F.when(scored & ~bad, review),
         "model_version": keep("model_version"), "model_kind": keep("model_kind"), "calibrated": keep("calibrated"),

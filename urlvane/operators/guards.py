@@ -40,32 +40,39 @@ def verdict_cache_asof(asks: DataFrame, puts: DataFrame, keys: list[str], ts: st
     value = F.struct("expires_at", *payload)
     stored = puts.select(*keys, ts, seq, value.alias("_put"), F.lit(True).alias("_is_put"))
     merged = asks.withColumn("_is_put", F.lit(False)).unionByName(stored, allowMissingColumns=True)
-    seen = last_before(merged, keys, ts, seq, F.when(F.col("_is_put"), F.col("_put")), "_found", chunk_s)
+    merged = merged.withColumn("_order", F.struct(seq, "_is_put"))  # an ask comes before its own put
+    seen = last_before(merged, keys, ts, "_order", F.when(F.col("_is_put"), F.col("_put")), "_found", chunk_s)
     alive = F.col("_found.expires_at") > F.col(ts)
     return (
         seen.filter(~F.col("_is_put"))
         .withColumns({
             "cache_hit": F.coalesce(alive, F.lit(False)),
             **{name: F.when(alive, F.col(f"_found.{name}")) for name in payload},
-        }).drop("_put", "_is_put", "_found")
+        }).drop("_put", "_is_put", "_order", "_found")
     )
 
 
 def quota_guard(calls: DataFrame, limit: int, ts: str = "ts", seq: str = "seq",
-                provider: str = "provider") -> DataFrame:
+                provider: str = "provider", used: DataFrame | None = None) -> DataFrame:
     """Add `allowed`: the first `limit` calls per provider and UTC month.
 
-    The cut is the limit-th call. One cut row per provider and month is broadcast,
-    so its size is known and no provider's calls meet in one task.
+    `used` (provider, month, used) counts calls made before these. The cut is the last
+    allowed call. One cut row per provider and month is broadcast, so its size is known
+    and no provider's calls meet in one task.
     """
     calls = calls.withColumn("month", times.utc_month(ts))
-    first = top_n_per_group(calls.select(provider, "month", ts, seq), [provider, "month"], [ts, seq], limit)
-    cuts = first.groupBy(provider, "month").agg(
-        F.max(F.struct(F.col(ts).alias("t"), F.col(seq).alias("s"))).alias("_cut"), F.count("*").alias("_n")
-    ).filter(F.col("_n") >= limit).select(provider, "month", "_cut")
+    slim = calls.select(provider, "month", F.col(ts).alias("_t"), F.col(seq).alias("_s"))
+    first = top_n_per_group(slim, [provider, "month"], ["_t", "_s"], limit, rank="_rank")
+    left = F.lit(limit)
+    if used is not None:
+        first = first.join(F.broadcast(used), [provider, "month"], "left")
+        left = F.lit(limit) - F.coalesce("used", F.lit(0))
+    cuts = first.filter(F.col("_rank") <= left).groupBy(provider, "month").agg(
+        F.max(F.struct("_t", "_s")).alias("_cut")
+    )
     joined = calls.join(F.broadcast(cuts), [provider, "month"], "left")
-    within = (F.col(ts) < F.col("_cut.t")) | ((F.col(ts) == F.col("_cut.t")) & (F.col(seq) <= F.col("_cut.s")))
-    return joined.withColumn("allowed", F.coalesce(within, F.lit(True))).drop("_cut")
+    within = F.struct(F.col(ts).alias("_t"), F.col(seq).alias("_s")) <= F.col("_cut")
+    return joined.withColumn("allowed", F.coalesce(within, F.lit(False))).drop("_cut")
 
 
 def circuit_open(log: DataFrame, cooldown_s: int, ts: str = "ts", seq: str = "seq", chunk_s: int = 60) -> DataFrame:

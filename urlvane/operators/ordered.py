@@ -58,7 +58,7 @@ def consecutive_count(df: DataFrame, keys: list[str], time: str, seq: str, hit:
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[str], n: int,
-                    descending: bool = False, salts: int = 64) -> DataFrame:
+                    descending: bool = False, salts: int = 64, rank: str | None = None) -> DataFrame:
     """First `n` rows of each group; a hot group is cut to n rows per salt before it meets.
 
     `order` must be total (end it with a unique column). It decides the result, the
@@ -67,12 +67,13 @@ def top_n_per_group(df: DataFrame, keys: list[str], order: list[str], n: int,
     by = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     near = Window.partitionBy(*keys, "_salt").orderBy(*by)
     final = Window.partitionBy(*keys).orderBy(*by)
-    return (
+    top = (
         df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         .withColumn("_rank", F.row_number().over(near)).filter(F.col("_rank") <= n)
         .withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= n)
-        .drop("_salt", "_rank")
+        .drop("_salt")
     )
+    return top.withColumnRenamed("_rank", rank) if rank else top.drop("_rank")
 
 
 def first_fraction(df: DataFrame, keys: list[str], order: str, fraction: float, out: str) -> DataFrame:

@@ -71,10 +71,17 @@ def messy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.expr(MESSY_URL_SQL).alias("url"))
 
 
-def nav_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
+def nav_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Every event with the page it visits; `seq` is the unique event number."""
     known = pages(spark, sf_dir)
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = table(spark, sf_dir, "events") if events is None else events
+    events = events.select("event_id", "ts", "user_id", "event_type", "value")
     total = table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
     visits = events.withColumn("page_id", F.col("event_id") % total)
     return visits.join(known, "page_id").select(
@@ -103,9 +110,9 @@ def nav_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nav_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nav_dirty(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Navigation events, most with one field broken."""
-    rows = nav_events(spark, sf_dir)
+    rows = nav_events(spark, sf_dir, events)
     qualifiers = (
         F.when(F.col("seq") % 17 == 8, F.array_repeat(F.lit("q"), 17))
         .when(F.col("seq") % 17 == 9, F.array(F.lit("a"), F.lit("")))
@@ -156,9 +163,9 @@ def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lookup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lookup_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One lookup per event: provider, outcome, verdict flags and match expiry."""
-    rows = nav_events(spark, sf_dir)
+    rows = nav_events(spark, sf_dir, events)
     listed = F.col("page_id") % 5 == 0
     outcome = F.when(F.col("event_type") == "error", "error").when(listed, "match").otherwise("none")
     return rows.select(
@@ -192,7 +199,7 @@ def with_score(df: DataFrame) -> DataFrame:
     from urlvane.operators.features import url_features_modern
 
     scored = url_features_modern(df).withColumns({
-        "score": F.expr(SCORE_SQL), "threshold": F.lit(SCORE_THRESHOLD),
+        "score": F.when(F.col("feature_error").isNull(), F.expr(SCORE_SQL)), "threshold": F.lit(SCORE_THRESHOLD),
         "model_version": F.lit("linear-1"), "model_kind": F.lit(fv.MODEL_KIND), "calibrated": F.lit(True),
     })
     return scored.drop(*fv.MODERN_FEATURES, "feature_error")

@@ -384,8 +384,8 @@ def filter_public_destination(spark, sf):
 
 # --- Guards ----------------------------------------------------------------
 
-def _log_with_ttl(spark, sf):
-    log = inputs.lookup_log(spark, sf)
+def _log_with_ttl(spark, sf, events=None):
+    log = inputs.lookup_log(spark, sf, events)
     match = F.col("outcome") == "match"
     ttl = guards.lookup_ttl(Settings(), F.col("provider"), match, match, F.col("expire_at"), F.col("ts"))
     return log.withColumn("ttl", F.when(F.col("outcome") == "error", 0).otherwise(ttl))
@@ -446,9 +446,9 @@ def budget_status(spark, sf):
 
 # --- Classification and alerts ----------------------------------------------
 
-def _reputed(spark, sf):
+def _reputed(spark, sf, events=None):
     """Navigations with a provider verdict, or the reason why there is none."""
-    rows = inputs.nav_events(spark, sf).select("seq", "event_id", "url", "event_type", "value")
+    rows = inputs.nav_events(spark, sf, events).select("seq", "event_id", "url", "event_type", "value")
     df = reputation.reputation_phishtank(rows, inputs.rep_feed(spark, sf))
     df = urls.with_url_parts(df, "url", "_h_").withColumn("url_host", F.col("_h_host"))
     df = urls.drop_url_parts(df, "_h_")
@@ -460,8 +460,8 @@ def _reputed(spark, sf):
     })
 
 
-def classified(spark, sf, settings=ML_ON):
-    df = _reputed(spark, sf)
+def classified(spark, sf, settings=ML_ON, events=None):
+    df = _reputed(spark, sf, events)
     confirmed = F.col("rep_failure").isNull() & F.col("rep_malicious")
     if settings.ml_enabled:
         df = classify.score_unconfirmed(df, inputs.with_score, confirmed)
@@ -759,12 +759,10 @@ def unclassified_events(spark, sf):
 
 @query
 def archived_not_alerted(spark, sf):
-    rows = inputs.nav_dirty(spark, sf).withColumn("event_id", F.concat(F.lit("evt-"), F.col("seq").cast("string")))
-    valid = navigation.validate_nav_event(rows.withColumn("seq2", F.col("seq"))).filter("accepted")
-    matched = navigation.match_nav_rule(rows)
-    return correlate.archived_not_alerted(
-        rows.select("event_id"), matched.select("event_id"), valid.select(F.concat(F.lit("evt-"), F.col("seq2").cast("string")).alias("event_id"))
-    )
+    rows = inputs.nav_dirty(spark, sf)
+    ids = lambda df: df.select(F.concat(F.lit("evt-"), F.col("seq").cast("string")).alias("event_id"))
+    alerted = navigation.validate_nav_event(rows).filter("accepted")
+    return correlate.archived_not_alerted(ids(rows), ids(navigation.match_nav_rule(rows)), ids(alerted))
 
 
 @query
@@ -776,3 +774,138 @@ def retain_latest_n(spark, sf):
 @query
 def dropped_counts(spark, sf):
     return correlate.dropped_counts(inputs.nav_events(spark, sf).select("agent_id"), "agent_id", 500)
+
+
+# --- Models ----------------------------------------------------------------
+
+# A small regressor over the legacy features, standing in for weights that come from elsewhere.
+REGRESSOR_MEAN = [0.5] * 15
+REGRESSOR_SCALE = [2.0] * 15
+REGRESSOR_VECTORS = [[0.0] * 15, [1.0] * 15, [float(i % 2) for i in range(15)]]
+REGRESSOR_WEIGHTS = [0.9, -1.4, 0.35]
+REGRESSOR_INTERCEPT, REGRESSOR_GAMMA = -0.2, 0.125
+
+
+@query
+def score_raw_regressor(spark, sf):
+    from urlvane.ml.kernel import KernelRegressor, score_raw_regressor as score
+
+    rows = features.url_features_legacy(
+        inputs.pages(spark, sf), "url", inputs.registration(spark, sf), inputs.table(spark, sf, "pages"), inputs.NOW
+    ).filter(F.col("feature_error").isNull())
+    model = KernelRegressor(REGRESSOR_MEAN, REGRESSOR_SCALE, REGRESSOR_VECTORS, REGRESSOR_WEIGHTS,
+                            REGRESSOR_INTERCEPT, REGRESSOR_GAMMA)
+    return score(rows, model).select(
+        "page_id", F.round("score", 9).alias("score"), "threshold", "model_kind", "calibrated",
+        (F.col("score") >= F.col("threshold")).alias("suspicious"),
+    )
+
+
+@query
+def train_url_model(spark, sf):
+    """Train on the labelled pages and score every page with the calibrated model."""
+    from urlvane.ml import training
+
+    model, metadata = training.train_url_model(inputs.labeled_urls(spark, sf), "v1", 0.5)
+    rows = features.url_features_modern(inputs.messy_pages(spark, sf))
+    return training.score_modern(rows, model, metadata).select(
+        "page_id", "score", "score_percent", "threshold", "model_version", "model_kind", "calibrated", "feature_error"
+    )
+
+
+# --- Streams: the event table read as a stream, results read back ------------
+
+def _finish(running) -> None:
+    running.awaitTermination()
+
+
+def _streamed(spark, df, name, mode="append"):
+    from urlvane.plans.scratch import shared_folder
+    from urlvane.streaming import pipelines
+
+    folder = shared_folder(spark, name)
+    _finish(pipelines.write_stream(df, f"{folder}/rows", f"{folder}/checkpoint", mode))
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+@query
+def stream_validate(spark, sf):
+    from urlvane.plans.scratch import shared_folder
+    from urlvane.streaming import pipelines
+
+    folder = shared_folder(spark, "validate")
+    events = inputs.nav_dirty(spark, sf, inputs.event_stream(spark, sf))
+    _finish(pipelines.stream_validate(events, f"{folder}/accepted", f"{folder}/rejected", f"{folder}/checkpoint"))
+    fine = spark.read.parquet(f"{folder}/accepted").select(F.lit("accepted").alias("reason"))
+    refused = spark.read.parquet(f"{folder}/rejected").select(F.col("error").alias("reason"))
+    return fine.unionByName(refused).groupBy("reason").agg(F.count("*").alias("events"))
+
+
+@query
+def stream_dedup(spark, sf):
+    from urlvane.streaming import pipelines
+
+    events = inputs.event_stream(spark, sf).select(
+        "event_id", "user_id", "event_type", times.epoch_ms("ts").alias("t_ms"),
+        F.col("ts").cast("timestamp").alias("event_time"),
+    )
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    kept = pipelines.stream_dedup(events, "event_time", "t_ms", "event_id", key, DEDUP_WINDOW_MS)
+    return _streamed(spark, kept.drop("event_time"), "dedup")
+
+
+@query
+def stream_cache(spark, sf):
+    from urlvane.streaming import pipelines
+
+    log = _log_with_ttl(spark, sf, inputs.event_stream(spark, sf)).withColumn("event_time", F.timestamp_seconds("ts"))
+    log = log.select("seq", "provider", "url", "ts", "outcome", "ttl", "event_time")
+    flagged = pipelines.stream_cache(log, "event_time", "ts", "seq", "ttl", F.col("outcome") == "error")
+    return _streamed(spark, flagged.select("seq", "provider", "ts", "outcome", "ttl", "cache_hit"), "cache")
+
+
+@query
+def stream_guards(spark, sf):
+    from urlvane.plans.scratch import shared_folder
+    from urlvane.streaming import pipelines
+
+    folder = shared_folder(spark, "guards")
+    log = inputs.lookup_log(spark, sf, inputs.event_stream(spark, sf)).select("provider", "ts", "seq", "outcome")
+    _finish(pipelines.stream_guards(log, QUOTA, 300, f"{folder}/rows", f"{folder}/state", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/rows").select("provider", "month", "ts", "seq", "outcome", "open", "allowed")
+
+
+@query
+def stream_classify(spark, sf):
+    verdicts = classified(spark, sf, events=inputs.event_stream(spark, sf))
+    df = alerts.emit_alerts(alerts.assign_alerts(verdicts, fv.PHISHTANK))
+    return _streamed(spark, df.select("seq", "status", "source", "role", "level"), "classify")
+
+
+@query
+def stream_correlate(spark, sf):
+    """Each event with its classification, which appears up to 20 minutes later or never."""
+    from urlvane.streaming import pipelines
+
+    rows = inputs.event_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("nav_time"))
+    results = inputs.event_stream(spark, sf).filter(F.col("event_id") % 3 != 2).select(
+        F.col("event_id").alias("source_event_id"),
+        (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 40) * 30)).alias("result_time"),
+    )
+    joined = pipelines.stream_correlate(rows, results)
+    found = joined.filter(F.col("source_event_id").isNotNull())
+    return _streamed(spark, found.select("event_id", F.unix_seconds("result_time").alias("result_s")), "correlate")
+
+
+@query
+def stream_repeat_windows(spark, sf):
+    """Counts are written as they change; the last one per window and URL is the result."""
+    from urlvane.plans.scratch import shared_folder
+    from urlvane.streaming import pipelines
+
+    folder = shared_folder(spark, "windows")
+    counts = pipelines.stream_repeat_windows(inputs.nav_events(spark, sf, inputs.event_stream(spark, sf)))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    _finish(pipelines.write_batches(counts, write, f"{folder}/checkpoint", "update"))
+    rows = spark.read.schema("window_start_s long, url string, visits long, batch int").parquet(f"{folder}/rows")
+    return rows.groupBy("window_start_s", "url").agg(F.max_by("visits", "batch").alias("visits"))
