@@ -49,25 +49,25 @@ def stream_validate(events: DataFrame, accepted_path: str, rejected_path: str, c
 
 # --- Keyed windows ---------------------------------------------------------
 
-def _walk(at: np.ndarray, until: np.ndarray, cover: int) -> tuple[np.ndarray, int]:
-    """Which of the ordered rows open a window, and the cover left behind."""
-    opened = np.zeros(len(at), bool)
-    for i in range(len(at)):
-        if at[i] > cover:
-            opened[i] = True
-            if until[i] >= at[i]:
-                cover = int(until[i])
-    return opened, cover
+def _keyed_windows(time: str, seq: str, columns: list[str], out: str, per_second: int):
+    """The per-key function; self-contained, so workers need only numpy and pandas."""
 
+    def walk(at: np.ndarray, until: np.ndarray, cover: int) -> tuple[np.ndarray, int]:
+        opened = np.zeros(len(at), bool)
+        for i in range(len(at)):
+            if at[i] > cover:
+                opened[i] = True
+                if until[i] >= at[i]:
+                    cover = int(until[i])
+        return opened, cover
 
-def _keyed_windows(time: str, seq: str, columns: list[str], out: str, per_second: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values([time, seq], kind="stable")
         cover = state.get[0] if state.exists else -(2**62)
-        opened, cover = _walk(rows[time].to_numpy(np.int64), rows["_until"].to_numpy(np.int64), cover)
+        opened, cover = walk(rows[time].to_numpy(np.int64), rows["_until"].to_numpy(np.int64), cover)
         state.update((cover,))
         expiry_ms = (cover + 1) * 1000 // per_second
         if expiry_ms > state.getCurrentWatermarkMs():
