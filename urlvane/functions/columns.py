@@ -1,7 +1,9 @@
-"""Plan-shape helper."""
+"""Plan-shape helpers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -15,3 +17,13 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     made = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
     return df.select(*kept, F.inline(made))
+
+
+def per_distinct(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add columns that depend on `key` alone, computed once per distinct value.
+
+    Values are combined map-side, so a hot value costs one row per task. The join back
+    is left to Spark: broadcast when the result is small, else by shuffle, where AQE
+    splits hot values. For costly columns over rows that repeat their keys.
+    """
+    return df.join(compute(df.select(key).distinct()), key, "left")

@@ -72,14 +72,16 @@ def with_url_parts(df: DataFrame, url: str = "url", prefix: str = "u_") -> DataF
     cut = lambda text, pattern, groups: F.split(
         F.regexp_replace(text, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1))), _CUT
     )
-    df = df.withColumn(f"{p}clean", _cleaned(F.translate(F.col(url), _CUT, " ")))
+    df = df.withColumn(f"{p}clean", _cleaned(F.replace(F.col(url), F.lit(_CUT), F.lit(" "))))
     df = df.withColumn(f"{p}cut", cut(F.col(f"{p}clean"), _SPLIT, 5))
     piece = lambda i: F.get(f"{p}cut", F.lit(i))
     df = df.withColumns({
         f"{p}web": F.coalesce(F.col(f"{p}clean").rlike(WEB), F.lit(False)),
         f"{p}scheme": F.lower(piece(0)), f"{p}netloc": piece(1), f"{p}path": piece(2),
         f"{p}query": piece(3), f"{p}fragment": piece(4),
-        f"{p}place": cut(piece(1), _NETLOC, 5),
+        f"{p}place": F.when(piece(1).rlike(r"[@:\[]"), cut(piece(1), _NETLOC, 5)).otherwise(
+            F.array(F.lit(""), F.lit(""), F.lit(""), piece(1), F.lit(""))
+        ),
     })
     place = lambda i: F.get(f"{p}place", F.lit(i))
     df = df.withColumns({
@@ -129,19 +131,18 @@ def site_domain(netloc: Column | str) -> Column:
 
 
 def char_entropy(text: Column | str) -> Column:
-    """Shannon entropy (base 2) of the code points; 0.0 for the empty text."""
+    """Shannon entropy (base 2) of the code points; 0.0 for the empty text.
+
+    log2(n) - sum(k * log2(k)) / n over the counts k. Characters are sorted, so equal ones
+    form runs; a run of one adds nothing, and only longer runs are extracted.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    total = F.length(text).cast("double")
-    counts = F.transform(
-        F.array_distinct(F.split(text, "")),
-        lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))),
-    )
-    bits = F.aggregate(
-        F.filter(counts, lambda n: n > 0),
-        F.lit(0.0),
-        lambda acc, n: acc - (n / total) * F.log2(n / total),
-    )
-    return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1+"), F.lit(0))
+    size = lambda run: F.length(run).cast("double")
+    weighed = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + size(run) * F.log2(size(run)))
+    total = size(text)
+    return F.when(total > 0, F.log2(total) - weighed / total).otherwise(F.lit(0.0))
 
 
 def _restore(encoded: Column, pairs: list[tuple[str, str]]) -> Column:

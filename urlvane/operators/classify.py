@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
-from urlvane.functions.columns import settle
+from urlvane.functions.columns import per_distinct, settle
 from urlvane.settings import Settings
 
 
@@ -20,10 +20,20 @@ def ml_band(score: Column, threshold: Column, review: Column) -> Column:
     )
 
 
-def score_unconfirmed(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], confirmed: Column) -> DataFrame:
-    """Run a scorer on unconfirmed rows only, so no model cost is paid for confirmed ones."""
-    scored = scorer(df.filter(~confirmed))
-    return scored.unionByName(df.filter(confirmed), allowMissingColumns=True)
+def score_unconfirmed(df: DataFrame, scorer: Callable[[DataFrame, str], DataFrame], confirmed: Column,
+                      url: str = "url") -> DataFrame:
+    """Hand the scorer a NULL URL for confirmed rows, so they cost nothing and get no score.
+
+    One pass over the rows: no split and no union. The form for streams, and for scorers
+    too costly to run on confirmed URLs; see `score_distinct` for tables.
+    """
+    given = df.withColumn("_score_url", F.when(~confirmed, F.col(url)))
+    return scorer(given, "_score_url").drop("_score_url")
+
+
+def score_distinct(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], url: str = "url") -> DataFrame:
+    """Score each distinct URL once and join the scores back; navigations repeat URLs a lot."""
+    return per_distinct(df, url, scorer)
 
 
 def classify_navigation(df: DataFrame, settings: Settings, provider: str | None = None) -> DataFrame:

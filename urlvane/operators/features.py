@@ -17,6 +17,15 @@ def _any_of(words: list[str]) -> str:
     return "|".join(word.replace(".", r"\.") for word in words)
 
 
+def _by_first_letter(words: list[str]) -> str:
+    """An alternation that looks at each first letter once. Words keep their order, so
+    the first word that fits at a position still wins."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in groups.items())
+
+
 def _segments(text: Column, separator: str) -> Column:
     return F.size(F.filter(F.split(text, separator), lambda x: x != ""))
 
@@ -26,6 +35,7 @@ def url_features_modern(df: DataFrame, url: str = "url") -> DataFrame:
     p = "_f_"
     df = urls.with_url_parts(df, url, p)
     raw = F.col(url)
+    df = df.withColumn(p + "entropy", urls.char_entropy(raw))
     c = lambda name: F.col(p + name)
     length = F.length(raw)
     values = {
@@ -41,8 +51,8 @@ def url_features_modern(df: DataFrame, url: str = "url") -> DataFrame:
         "contains_at": _flag(F.contains(raw, F.lit("@"))),
         "contains_punycode": _flag(F.contains(c("host"), F.lit("xn--"))),
         "hostname_has_dash": _flag(F.contains(c("host"), F.lit("-"))),
-        "character_entropy": urls.char_entropy(raw),
-        "suspicious_token_count": F.regexp_count(raw, F.lit("(?i)(" + "|".join(fv.SUSPICIOUS_TOKENS) + ")")),
+        "character_entropy": F.col(p + "entropy"),
+        "suspicious_token_count": F.regexp_count(F.lower(raw), F.lit(_by_first_letter(fv.SUSPICIOUS_TOKENS))),
         "known_shortener": _flag(c("host").isin(fv.SHORTENER_HOSTS)),
         "uses_https": _flag(c("scheme") == "https"),
         "explicit_port": _flag(c("port_text") != ""),
@@ -51,7 +61,7 @@ def url_features_modern(df: DataFrame, url: str = "url") -> DataFrame:
     ok = urls.is_web(p)
     df = df.withColumn("feature_error", F.when(~ok, "URL must be HTTP or HTTPS with a hostname"))
     df = settle(df, {name: F.when(ok, values[name].cast("double")) for name in fv.MODERN_FEATURES})
-    return urls.drop_url_parts(df, p)
+    return urls.drop_url_parts(df, p).drop(p + "entropy")
 
 
 def legacy_lexical(df: DataFrame, url: str = "url") -> DataFrame:

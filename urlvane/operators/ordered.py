@@ -171,7 +171,8 @@ def _scan_chains(keys: list[str]):
 
 
 def anchored_windows(df: DataFrame, keys: list[str], time: str, seq: str, cover_until: Column,
-                     out: str, chunk: int, max_span: int | None = None) -> DataFrame:
+                     out: str, chunk: int, max_span: int | None = None,
+                     small_key: int = 50_000) -> DataFrame:
     """Flag rows that are not covered by the window of the last opening row of their key.
 
     An uncovered row opens a window that covers later rows up to and including
@@ -179,18 +180,23 @@ def anchored_windows(df: DataFrame, keys: list[str], time: str, seq: str, cover_
     rows never move the window. Rows are taken in (time, seq) order, `seq` unique.
 
     1. Each instant is reduced to its first opening row (map-side).
-    2. Chunks that no earlier window can reach are settled on their own.
+    2. A key with at most `small_key` instants is one chunk. Larger keys are cut by time,
+       and chunks that no earlier window can reach are settled on their own.
     3. Chunks that may be reached form chains. For those a chunk is reduced to
        "window left behind for each way in", and the chain is walked over these
        reduced rows, whose number depends on the span, not on the number of rows.
     """
     part = [*keys, "_chunk"]
-    rows = df.withColumns({"_chunk": F.floor(F.col(time) / F.lit(chunk)), "_cover": cover_until.cast("long")})
+    rows = df.withColumn("_cover", cover_until.cast("long"))
     head = F.min_by(
         F.struct(F.col(seq).alias("seq"), F.col("_cover").alias("cover")),
         F.when(F.col("_cover") >= F.col(time), F.col(seq)),
     )
-    points = rows.groupBy(*part, time).agg(head.alias("_head"))
+    instants = rows.groupBy(*keys, time).agg(head.alias("_head"))
+    large = instants.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_key)
+    points = instants.join(large.select(*keys, F.lit(True).alias("_large")), keys, "left").withColumn(
+        "_chunk", F.when(F.col("_large"), F.floor(F.col(time) / F.lit(chunk))).otherwise(F.lit(0).cast("long"))
+    ).drop("_large")
 
     along = Window.partitionBy(*keys).orderBy("_chunk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -254,4 +260,4 @@ def anchored_windows(df: DataFrame, keys: list[str], time: str, seq: str, cover_
             F.col("_is_open") & (F.col("_open_seq").isNull() | (F.col(seq) <= F.col("_open_seq"))), F.lit(False)
         ),
     )
-    return flagged.drop("_chunk", "_cover", "_open_seq", "_is_open")
+    return flagged.drop("_cover", "_open_seq", "_is_open")

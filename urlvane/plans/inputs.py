@@ -194,11 +194,11 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def with_score(df: DataFrame) -> DataFrame:
+def with_score(df: DataFrame, url: str = "url") -> DataFrame:
     """Lexical score of each row's URL and the columns a model reports with it."""
     from urlvane.operators.features import url_features_modern
 
-    scored = url_features_modern(df).withColumns({
+    scored = url_features_modern(df, url).withColumns({
         "score": F.when(F.col("feature_error").isNull(), F.expr(SCORE_SQL)), "threshold": F.lit(SCORE_THRESHOLD),
         "model_version": F.lit("linear-1"), "model_kind": F.lit(fv.MODEL_KIND), "calibrated": F.lit(True),
     })

@@ -463,8 +463,10 @@ def _reputed(spark, sf, events=None):
 def classified(spark, sf, settings=ML_ON, events=None):
     df = _reputed(spark, sf, events)
     confirmed = F.col("rep_failure").isNull() & F.col("rep_malicious")
-    if settings.ml_enabled:
+    if settings.ml_enabled and df.isStreaming:
         df = classify.score_unconfirmed(df, inputs.with_score, confirmed)
+    elif settings.ml_enabled:
+        df = classify.score_distinct(df, inputs.with_score)
     return classify.classify_navigation(df, settings, fv.PHISHTANK)
 
 
