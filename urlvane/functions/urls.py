@@ -250,7 +250,11 @@ def _dot_free(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), resolved).otherwise(path)
 
 
-_VALID_PATH = r"^(?:[A-Za-z0-9\-._~!$&'()*+,;=:@/\[\]]|%[0-9A-Fa-f]{2})*$"
+# Single classes, not repeated groups: a repeated group recurses once per character
+# in the regex engine and overflows its stack on a long URL.
+_VALID_PATH = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@/\[\]%]*$"
+_BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+_BAD_HOST = r"""[\x00-\x7F&&[^A-Za-z0-9\-._~!$&'()*+,;=:\[\]<>"]]"""
 
 
 def canonical_url(df: DataFrame, url: str = "url", out: str = "canonical_url",
@@ -261,9 +265,9 @@ def canonical_url(df: DataFrame, url: str = "url", out: str = "canonical_url",
     raw, c = F.col(url), (lambda name: F.col(p + name))
     hostport = F.substring_index(c("netloc"), "@", -1)
     port_ok = hostport.rlike(r"^(?:\[[^\]]*\]|[^:\[\]]*)(?::[0-9]*)?$")
-    host_ok = hostport.rlike(r"^(?:[^\x00-\x7F]|[A-Za-z0-9\-._~!$&'()*+,;=:\[\]<>\"])*$")
-    user_ok = F.substring_index(c("netloc"), "@", 1).rlike(r"^[A-Za-z0-9\-._:~!$&'()*+,;=%@]*$") | ~F.contains(c("netloc"), F.lit("@"))
-    escapes_ok = ~F.concat(c("path"), F.lit("#"), c("fragment")).rlike(r"%(?![0-9A-Fa-f]{2})")
+    host_ok = ~hostport.rlike(_BAD_HOST)
+    user_ok = F.regexp_extract(c("netloc"), r"^(.*)@", 1).rlike(r"^[A-Za-z0-9\-._:~!$&'()*+,;=%@]*$")
+    escapes_ok = ~F.concat(c("path"), F.lit("#"), c("fragment")).rlike(_BAD_ESCAPE)
     control = raw.rlike(r"[\x00-\x1F\x7F]") | raw.rlike(r"^ ")
     parsed = ~control & port_ok & host_ok & user_ok & escapes_ok & (c("host") != "")
     df = settle(df, {
