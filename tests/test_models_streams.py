@@ -62,10 +62,12 @@ def test_stream_dedup_over_files_equals_batch(spark, tmp_path):
     """Several micro-batches in time order give what one batch gives."""
     source = tmp_path / "in"
     times = [0, 900, 2000, 2001, 5000, 6500, 7001, 7002, 12000]
-    frame = spark.createDataFrame([(i, t, f"k{i % 2}") for i, t in enumerate(sorted(times * 2))], "seq long, t long, k string")
+    start = 1_700_000_000_000
+    frame = spark.createDataFrame([(i, start + t, f"k{i % 2}") for i, t in enumerate(sorted(times * 2))], "seq long, t long, k string")
     frame = frame.withColumn("at", F.timestamp_millis("t"))
-    for low in (0, 4000, 7000):
-        frame.filter(f"t >= {low} AND t < {low + (4000 if low == 0 else 3000 if low == 4000 else 99999)}").coalesce(1).write.mode("append").parquet(str(source))
+    for low, high in ((0, 4000), (4000, 7000), (7000, 99999)):
+        part = frame.filter(F.col("t").between(start + low, start + high - 1))
+        part.coalesce(1).write.mode("append").parquet(str(source))
     batch = {r.seq for r in navigation.dedup_anchored(frame, "t", "seq", 2000, F.col("k")).filter("kept").collect()}
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     kept = pipelines.stream_dedup(stream, "at", "t", "seq", F.col("k"), 2000)
