@@ -33,6 +33,15 @@ def _balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(weights), "label")
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """Partitions of a fixed number of rows: each pass of the optimizer is one job over
+    them, so neither tiny nor oversized tasks pay."""
+    return rows.repartition(max(1, -(-n // ROWS_PER_PARTITION)))
+
+
 def _base_model(rows: DataFrame) -> PipelineModel:
     n = rows.count()
     stages = [
@@ -41,7 +50,10 @@ def _base_model(rows: DataFrame) -> PipelineModel:
         LogisticRegression(weightCol="weight", maxIter=2000, regParam=1.0 / n, standardization=False,
                            rawPredictionCol="margin", probabilityCol="p", predictionCol="guess"),
     ]
-    return Pipeline(stages=stages).fit(_balanced(rows))
+    sized = _sized(_balanced(rows), n).persist()
+    model = Pipeline(stages=stages).fit(sized)
+    sized.unpersist()
+    return model
 
 
 def _margin(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -67,7 +79,7 @@ def _platt(rows: DataFrame) -> tuple[float, float]:
         VectorAssembler(inputCols=["z"], outputCol="margin_vector"),
         LogisticRegression(featuresCol="margin_vector", weightCol="weight", maxIter=200, standardization=False),
     ]
-    fitted = Pipeline(stages=stages).fit(soft).stages[-1]
+    fitted = Pipeline(stages=stages).fit(_sized(soft, 2 * (counts.p + counts.n))).stages[-1]
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
