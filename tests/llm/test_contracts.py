@@ -41,7 +41,9 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_suffix_dedup(frame, docs):
+@pytest.mark.parametrize("suffixes", [suffix_dedup.RANGE_SUFFIXES, 300])
+def test_suffix_dedup(frame, docs, monkeypatch, suffixes):
+    monkeypatch.setattr(suffix_dedup, "RANGE_SUFFIXES", suffixes)
     got = by_id(suffix_dedup.kept_bytes(frame))
     seen = {}
     for doc_id, text in sorted(docs):
