@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from urlvane.llm.shared import blob, mix, slices, written
+from urlvane.llm.shared import blob, mix, pressed, slices, unpack, written
 from urlvane.llm.words import Words
 
 STATES = 8
@@ -25,7 +25,7 @@ STATES = 8
 TOP_WORDS = 4096
 ENDINGS = 4096
 ENDING_BYTES = 3
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Training sequences are pieces of at most so many tokens; scoring knows no such limit.
 PIECE = 256
 #: First values come from texts of a bounded sample; then all training texts are passed.
@@ -58,7 +58,7 @@ def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
         train = ~np.repeat(held, sizes)
         trained = np.bincount(tokens[train], minlength=len(words)).astype(np.int64)
         row = {"chunk": [number], "doc_ids": [ids], "held": [blob(held)], "sizes": [blob(sizes)],
-               "tokens": [blob(tokens.astype(np.uint32))], "words": [blob(words)], "endings": [blob(ends[first])],
+               "tokens": [pressed(blob(tokens.astype(np.uint32)))], "words": [blob(words)], "endings": [blob(ends[first])],
                "trained": [blob(trained)]}
         return row
 
@@ -187,7 +187,7 @@ def _normal(start, move, emit) -> Hmm:
 
 
 def _arrays(row: dict):
-    return (np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["tokens"], np.uint32),
+    return (np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], np.int64), np.frombuffer(unpack(row["tokens"]), np.uint32),
             np.frombuffer(row["words"], np.uint64), np.frombuffer(row["endings"], np.uint16), np.frombuffer(row["trained"], np.int64))
 
 
@@ -228,8 +228,9 @@ def train(packs: DataFrame, vocabulary: DataFrame, states: int = STATES, passes:
     model = _normal(np.ones(states), np.ones((states, states)) + 20 * np.eye(states), base)
 
     # first values from one bounded sample
-    first = packs.select("chunk", "held", "sizes", "tokens", "words", "endings", "trained").orderBy(F.xxhash64("chunk")).limit(1).collect()
-    for row in first:
+    number = packs.agg(F.min_by("chunk", F.xxhash64("chunk"))).first()[0]
+    first = packs.select("held", "sizes", "tokens", "words", "endings", "trained").filter(F.col("chunk") == F.lit(number))
+    for row in first.limit(1).collect():
         held, sizes, tokens, words, endings, _ = _arrays(row.asDict())
         keep = ~held
         keep[np.flatnonzero(keep)[FIRST_ROWS:]] = False
