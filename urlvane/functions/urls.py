@@ -232,11 +232,23 @@ def _escape_unsafe(text: Column, unsafe: str, kept: str) -> Column:
     return F.when(text.rlike(unsafe), _restore(F.url_encode(text), pairs)).otherwise(text)
 
 
+#: Characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def _dot_free(path: Column) -> Column:
     """Resolve `.` and `..` path segments."""
     is_dot = lambda x: F.lower(F.replace(F.lower(x), F.lit("%2e"), F.lit(".")))
     kept = F.aggregate(
-        F.slice(F.split(path, "/"), 2, 100000),
+        F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))),
         F.array().cast("array<string>"),
         lambda acc, x: F.when(
             is_dot(x) == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)

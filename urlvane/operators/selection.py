@@ -13,7 +13,7 @@ from urlvane.operators.ordered import first_rows, top_n_per_group
 
 def verification_state(value: Column) -> Column:
     """False, True or unknown (NULL)."""
-    word = F.lower(F.trim(value.cast("string")))
+    word = F.lower(urls.stripped(value.cast("string")))
     return F.when(word.isin(fv.UNVERIFIED_WORDS), False).when(word.isin(fv.VERIFIED_WORDS), True)
 
 
@@ -26,16 +26,16 @@ def filter_unverified(df: DataFrame, column: str = "verified", include_verified:
 
 def valid_sample_url(df: DataFrame, url: str = "url") -> DataFrame:
     """Add sample_url (trimmed), sample_host and sample_ok."""
-    df = df.withColumn("sample_url", F.trim(F.col(url)))
+    df = df.withColumn("sample_url", urls.stripped(F.col(url)))
     df = urls.with_url_parts(df, "sample_url", "_s_")
     ok = (F.length("sample_url") <= fv.MAX_URL_LENGTH) & urls.is_web("_s_") & ~urls.has_credentials("_s_")
     df = df.withColumns({"sample_ok": F.coalesce(ok, F.lit(False)), "sample_host": F.col("_s_host")})
     return urls.drop_url_parts(df, "_s_")
 
 
-def select_samples(records: DataFrame, limit: int = 1000, position: str = "pos", url: str = "url",
+def select_samples(records: DataFrame, limit: int | None = 1000, position: str = "pos", url: str = "url",
                    verified: str = "verified", include_verified: bool = False) -> DataFrame:
-    """Add `reason` (verified_skipped, invalid, duplicate or selected) up to the limit.
+    """Add `reason` (verified_skipped, invalid, duplicate or selected) up to the limit; None takes the whole list.
 
     Rows after the one that reached the limit are left out, as if never read.
     """
@@ -50,6 +50,8 @@ def select_samples(records: DataFrame, limit: int = 1000, position: str = "pos",
         "reason",
         F.coalesce("_pre", F.when(F.coalesce("_first", F.lit(False)), "selected").otherwise("duplicate")),
     ).drop("_pre", "_first")
+    if limit is None:
+        return df
     cut = firsts.orderBy(position).limit(limit).agg(
         F.when(F.count("*") >= limit, F.max(position)).alias("cut")
     )
@@ -74,7 +76,7 @@ def sample_n(df: DataFrame, n: int, key: str, group: list[str] | None = None, se
 
 def clean_labels(df: DataFrame, url: str = "url", label: str = "label") -> DataFrame:
     """Trimmed URL and 0/1 label of rows whose features can be computed."""
-    df = df.select(F.trim(F.col(url)).alias("url"), F.col(label).cast("string").try_cast("int").alias("label"))
+    df = df.select(urls.stripped(F.col(url)).alias("url"), F.col(label).cast("string").try_cast("int").alias("label"))
     return df.filter(F.col("label").isin(0, 1) & urls.is_web_url("url"))
 
 

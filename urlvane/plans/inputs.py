@@ -187,7 +187,7 @@ def labeled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list with verification words, repeats and unusable URLs; `pos` is the file order."""
-    rows = messy_pages(spark, sf_dir).filter(F.col("url") != "")
+    rows = messy_pages(spark, sf_dir)
     words = F.expr("CASE page_id % 7 WHEN 0 THEN 'yes' WHEN 1 THEN '' WHEN 2 THEN ' NO ' ELSE 'unverified' END")
     first = rows.select(F.col("page_id").alias("pos"), "page_id", "url", words.alias("verified"))
     again = first.filter(F.col("page_id") % 5 == 0).withColumn("pos", F.col("pos") + 1000000000)

@@ -583,7 +583,7 @@ def limit_accepted(spark, sf):
 
 def evaluated(spark, sf):
     """List rows selected, scored as not found, and banded."""
-    chosen = selection.select_samples(inputs.url_list(spark, sf), 100000).filter(F.col("reason") == "selected")
+    chosen = selection.select_samples(inputs.url_list(spark, sf), limit=None).filter(F.col("reason") == "selected")
     df = chosen.select("pos", F.col("sample_url").alias("url"), F.col("sample_host").alias("url_host"))
     none = F.lit(None).cast("string")
     df = inputs.with_score(df).withColumns({
@@ -646,11 +646,15 @@ def union_labeled(spark, sf):
     return both.groupBy("url", "label").agg(F.count("*").alias("copies"))
 
 
+#: URLs sampled per label; the sample is the feature.
+FEATURE_SAMPLE = 5000
+
+
 @query
 def build_feature_dataset(spark, sf):
     rows = selection.dedupe_labels(inputs.labeled_urls(spark, sf)).filter("NOT conflict").select("url", "label")
     return selection.feature_dataset(
-        rows, 50, inputs.registration(spark, sf), inputs.table(spark, sf, "pages"), inputs.NOW
+        rows, FEATURE_SAMPLE, inputs.registration(spark, sf), inputs.table(spark, sf, "pages"), inputs.NOW
     ).withColumnRenamed("Prefix/Suffix", "Prefix_Suffix")
 
 

@@ -121,7 +121,9 @@ def _latest(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataF
 
     try:
         stored = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     newest = stored.agg(F.max("batch")).scalar()
     return stored.filter(F.col("batch") == newest).drop("batch")
