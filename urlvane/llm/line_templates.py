@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from urlvane.llm.shared import written
+from urlvane.llm.shared import discard, written
 
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
@@ -29,47 +29,59 @@ def _lines(text: str) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, _WITH_DIGIT, VARIABLE), r"\s+"), "")
+    # costly patterns only for lines that need them; a split by one space takes no pattern at all
+    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, VARIABLE)).otherwise(line)
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(plain, r"\s+", " ")).otherwise(plain)
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def parsed_lines(docs: DataFrame, keep_tokens: bool = False) -> DataFrame:
+def _parsed(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """The tokens of rows with a line's text, its leaf and line (hash of its tokens)."""
+    # one step, so that tokens are made once
+    rows = lines.select(*keep, F.explode(F.array(_tokens(F.col("text")))).alias("tokens"))
+    lead = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
+    return rows.select(*keep, "tokens", F.xxhash64(F.size("tokens"), *lead).alias("leaf"),
+                       F.xxhash64(F.size("tokens"), "tokens").alias("line"))
+
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
     """One row per line that has a token: doc_id, line_no, leaf, line (hash of its tokens), place (hash of its neighbours)."""
     arrays = docs.select("doc_id", _lines("text").alias("lines")).filter("lines IS NOT NULL")
     arrays = arrays.select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("marks"))
-    rows = arrays.select("doc_id", "marks", F.posexplode("lines").alias("line_no", "text"))
-    rows = rows.filter(F.col("text").rlike(r"\S")).select(
-        "doc_id", "line_no", _tokens(F.col("text")).alias("tokens"),
-        F.xxhash64(F.get("marks", F.col("line_no") - 1), F.lit("|"), F.get("marks", F.col("line_no") + 1)).alias("place"))
-    # one step, so that tokens are made once
-    rows = rows.select("doc_id", "line_no", "place", F.explode(F.array("tokens")).alias("tokens"))
-    lead = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
-    return rows.select("doc_id", "line_no", F.xxhash64(F.size("tokens"), *lead).alias("leaf"),
-                       F.xxhash64(F.size("tokens"), "tokens").alias("line"), "place", *(["tokens"] if keep_tokens else []))
+    rows = arrays.select("doc_id", "marks", F.posexplode("lines").alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
+    place = F.xxhash64(F.get("marks", F.col("line_no") - 1), F.lit("|"), F.get("marks", F.col("line_no") + 1))
+    return _parsed(rows.select("doc_id", "line_no", "text", place.alias("place")), ["doc_id", "line_no", "place"]).drop("tokens")
 
 
-def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line and template (hashes) for lines that share a leaf with another one and are fixed for the greater part."""
+def templates(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """line and template (hashes) for lines that share a leaf with another one and are fixed for the greater part.
+
+    Also the scratch tables that may go once the rows have been read.
+    """
     heads = lines.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     heads = written(heads.select("leaf", "line", "at.*"), "line-heads")
     shared = heads.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    wanted = heads.join(shared, "leaf", "left_semi")
-    tokens = parsed_lines(docs, keep_tokens=True).join(
-        wanted.select("doc_id", "line_no", "line"), ["doc_id", "line_no", "line"], "left_semi")
-    tokens = tokens.dropDuplicates(["leaf", "line"]).select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    wanted = heads.join(shared, "leaf", "left_semi").select("doc_id", "line_no", F.col("line").alias("wanted"))
+    texts = docs.select("doc_id", F.posexplode(_lines("text")).alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
+    # text moves as it is, and only wanted lines are cut into tokens again
+    found = _parsed(texts.join(wanted, ["doc_id", "line_no"]), ["wanted"]).filter(F.col("line") == F.col("wanted"))
+    tokens = found.dropDuplicates(["leaf", "line"]).select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
     tokens = written(tokens, "line-tokens")
     seen = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf", "at", "token")
     marked = tokens.join(seen.withColumn("fixed", F.lit(1)), ["leaf", "at", "token"], "left")
     part = F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).otherwise(VARIABLE).alias("token"))
     built = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("fixed").alias("fixed"), F.count("*").alias("n"))
     return built.filter(F.col("fixed") >= FIXED_SHARE * F.col("n")).select(
-        "leaf", "line", F.xxhash64("leaf", F.col("parts.token")).alias("template"))
+        "leaf", "line", F.xxhash64("leaf", F.col("parts.token")).alias("template")), [heads, tokens]
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same_place: float = SAME_PLACE) -> DataFrame:
     """doc_id and line_no of all lines whose template recurs in at least min_docs documents and various places."""
     lines = written(parsed_lines(docs), "lines")
-    named = lines.join(templates(docs, lines), ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
+    found, scratch = templates(docs, lines)
+    named = lines.join(found, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     named = written(named.select("doc_id", "line_no", "template", "place"), "line-templates")
+    discard(lines, *scratch)
     placed = named.select("template", "place", "doc_id").distinct().groupBy("template", "place").agg(F.count("*").alias("docs"))
     all_docs = named.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     common = placed.groupBy("template").agg(F.max("docs").alias("in_one_place"))
