@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from urlvane.llm import (
-    byte_bpe, decontaminate, hmm, language_id, line_templates, near_duplicates, nearest, suffix_dedup, token_counts, toxicity,
+    byte_bpe, decontaminate, hmm, language_id, line_templates, manifest, near_duplicates, nearest, packing, spelling, suffix_dedup,
+    token_counts, toxicity,
 )
 from urlvane.llm.shared import remainder
 
@@ -75,3 +76,20 @@ def op9_language_model(spark, sf):
 @query
 def op10_nearest(spark, sf):
     return nearest.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_packing(spark, sf):
+    return packing.piece_digests(packing.pack(table(spark, sf, "documents")))
+
+
+@query
+def op12_spelling(spark, sf):
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf, "documents")))
+
+
+@query
+def op13_manifest(spark, sf):
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(remainder("doc_id", 5) == 0, manifest.leaf(*fields[:-1], manifest.lower_ascii("text")))
+    return manifest.checked(manifest.manifest(table(spark, sf, "documents"), fields, altered=tampered))
