@@ -132,19 +132,24 @@ def listed(word: str, counts: dict[str, int], q_max: int = Q_MAX, rare: int = RA
 
 
 def _lists(words: DataFrame, counts: dict[str, int], q_max: int, rare: int) -> DataFrame:
-    """Rows (word, one, at_one, two, at_two, sure) of the index. The counts reach each executor once."""
+    """Rows (word, letters, one, at_one, two, at_two, sure) of the index. The counts reach each executor once.
+
+    letters has a bit for each letter that the word holds.
+    """
     shared = words.sparkSession.sparkContext.broadcast(counts)
-    names = ["word", "one", "at_one", "two", "at_two", "sure"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+    names = ["word", "letters", "one", "at_one", "two", "at_two", "sure"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
 
     def run(batches):
         for batch in batches:
-            rows = [(word, *key, sure) for word in batch.column("word").to_pylist()
+            rows = [(word, bits, *key, sure) for word in batch.column("word").to_pylist()
+                    for bits in [sum({1 << ord(c) % 61 for c in word})]
                     for keys, sure in [listed(word, shared.value, q_max, rare)] for key in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names)
+                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
 
-    return words.select("word").mapInArrow(run, "word string, one string, at_one int, two string, at_two int, sure boolean")
+    return words.select("word").mapInArrow(
+        run, "word string, letters long, one string, at_one int, two string, at_two int, sure boolean")
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
@@ -152,13 +157,22 @@ def _candidates(lists: DataFrame) -> DataFrame:
 
     An edit that changes the length moves the grams right of it by one place. A word looks into the lists of its own
     length at the same places, and into those of words one letter shorter, its last grams moved by one place or not.
+    Words that hold more than two letters unlike are no pair.
     """
     key = lambda size, one, two: F.xxhash64("one", "two", size, one, two).alias("key")
     size, one, two = F.length("word"), F.col("at_one"), F.col("at_two")
-    own = lists.select(F.col("word").alias("a"), key(size, one, two))
-    looks = lists.select(F.col("word").alias("b"), F.explode(F.array(
+    own = lists.select(F.col("word").alias("a"), F.col("letters").alias("in_a"), key(size, one, two))
+    looks = lists.select(F.col("word").alias("b"), F.col("letters").alias("in_b"), F.explode(F.array(
         key(size, one, two), key(size - 1, one, two), key(size - 1, one, two - 1), key(size - 1, one - 1, two - 1))).alias("key"))
-    return own.join(looks, "key").filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))).select("a", "b")
+    met = own.join(looks, "key").filter(F.bit_count(F.col("in_a").bitwiseXOR(F.col("in_b"))) <= 2)
+    return met.filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Pairs one edit apart. The edit leaves the first or the second half of the shorter word a as it is."""
+    whole_half = F.expr("left(a, length(a) div 2) = left(b, length(a) div 2) OR "
+                        "right(a, length(a) - length(a) div 2) = right(b, length(a) - length(a) div 2)")
+    return pairs.filter(whole_half).filter(F.levenshtein("a", "b", 1) == 1).distinct()
 
 
 def near_words(words: DataFrame, rare: int = RARE) -> DataFrame:
@@ -171,7 +185,7 @@ def near_words(words: DataFrame, rare: int = RARE) -> DataFrame:
     lists = written(_lists(words, gram_counts(words), Q_MAX, rare), "gram-lists")
     unsure = lists.filter("NOT sure").select("word").distinct()
     pairs = _candidates(lists).unionByName(_candidates(_lists(unsure, {}, Q_MIN, rare)))
-    found = written(pairs.filter(F.levenshtein("a", "b", 1) == 1).distinct(), "near-words")
+    found = written(_verified(pairs), "near-words")
     discard(lists)
     return found
 
