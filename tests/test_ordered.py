@@ -36,16 +36,55 @@ def windows(data, cover):
     return opened
 
 
-@pytest.mark.parametrize("small", [10, 50_000])
-def test_anchored_windows(frame, data, small):
-    for cover, column, span in (
-        (lambda t, w: t + 50, F.col("t") + 50, 51), (lambda t, w: t + w, F.col("t") + F.col("w"), None),
+@pytest.fixture(params=[4, 23])
+def ranges(spark, request):
+    """Ranges of about 600 rows, and of about 100: the hot key goes over many, some keys over none."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, (str(request.param), "false")):
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def test_anchored_windows(frame, data, ranges):
+    for cover, column in (
+        (lambda t, w: t + 50, F.col("t") + 50), (lambda t, w: t + w, F.col("t") + F.col("w")),
+        (lambda t, w: t + 40 * w, F.col("t") + 40 * F.col("w")),
     ):
-        out = ordered.anchored_windows(frame, ["k"], "t", "i", column, "open", 170, span, small_key=small)
+        out = ordered.anchored_windows(frame, ["k"], "t", "i", column, "open")
         assert {r.i: r.open for r in out.collect()} == windows(data, cover)
 
 
-def test_last_before_and_consecutive(frame, data):
+def test_null_keys_and_empty_tables(spark, ranges):
+    rows = [(None, t, t, 3) for t in range(40)] + [("a", t, 100 + t, 3) for t in range(0, 40, 2)]
+    frame = spark.createDataFrame(rows, "k string, t long, i long, w long")
+    out = ordered.anchored_windows(frame, ["k"], "t", "i", F.col("t") + 2, "open")
+    assert {r.i: r.open for r in out.collect()} == {i: t % (3 if k is None else 4) == 0 for k, t, i, _ in rows}
+    counted = ordered.consecutive_count(frame, ["k"], "t", "i", F.lit(True), F.col("t") % 10 == 0, "c")
+    assert {r.i: r.c for r in counted.collect()} == {i: t % 10 // (1 if k is None else 2) for k, t, i, _ in rows}
+    for made in (ordered.anchored_windows(frame.limit(0), ["k"], "t", "i", F.col("t"), "o"),
+                 ordered.last_before(frame.limit(0), ["k"], "t", "i", F.col("w"), "o")):
+        assert made.count() == 0
+
+
+def test_hot_key_is_spread_over_ranges(spark, ranges):
+    frame = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("t"))
+    sizes = [r["count"] for r in ordered.in_ranges(frame, ["k"], ["t"], "spread").groupBy("_part").count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 700, 5000])
+def test_first_n(frame, data, limit):
+    got = {r.i: r.ok for r in ordered.first_n(frame, ["k"], "t", "i", F.lit(limit), "ok").collect()}
+    seen = {}
+    for k, t, i, w in in_order(data):
+        seen[k] = seen.get(k, 0) + 1
+        assert got[i] == (seen[k] <= limit)
+
+
+def test_last_before_and_consecutive(frame, data, ranges):
     want, runs, last, run = {}, {}, {}, {}
     for k, t, i, w in in_order(data):
         want[i] = last.get(k)
@@ -54,8 +93,8 @@ def test_last_before_and_consecutive(frame, data):
         run[k] = 0 if w == 700 else run.get(k, 0) + (w == 50)
         runs[i] = run[k]
     value = F.when(F.col("w") >= 50, F.col("w"))
-    assert {r.i: r.p for r in ordered.last_before(frame, ["k"], "t", "i", value, "p", 500).collect()} == want
-    counted = ordered.consecutive_count(frame, ["k"], "t", "i", F.col("w") == 50, F.col("w") == 700, "c", 500)
+    assert {r.i: r.p for r in ordered.last_before(frame, ["k"], "t", "i", value, "p").collect()} == want
+    counted = ordered.consecutive_count(frame, ["k"], "t", "i", F.col("w") == 50, F.col("w") == 700, "c")
     assert {r.i: r.c for r in counted.collect()} == runs
 
 
@@ -107,3 +146,34 @@ def test_quota_circuit_cache_goldens(spark):
     )
     hits = guards.cache_replay(replay, ["provider", "url"], "ts", "seq", "ttl", F.col("outcome") == "error")
     assert {r.seq: r.cache_hit for r in hits.collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def guarded(rows, limit, cooldown):
+    cache, until, used, out = {}, 0, {}, {}
+    for provider, url, t, i, outcome, ttl in sorted(rows, key=lambda r: (r[2], r[3])):
+        month = t // 2_678_400  # all rows lie in January and February 1970
+        if cache.get((provider, url), 0) > t:
+            out[i] = "cache_hit"
+        elif provider == "g" and until > t:
+            out[i] = "circuit_open"
+        elif provider == "g" and used.get(month, 0) >= limit:
+            out[i] = "quota_guard"
+        else:
+            used[month] = used.get(month, 0) + (provider == "g")
+            out[i] = "error" if outcome == "error" else "called"
+            if outcome == "error":
+                until = t + cooldown if provider == "g" else until
+            elif ttl > 0:
+                cache[provider, url] = t + ttl
+    return out
+
+
+@pytest.mark.parametrize("limit, errors", [(10 ** 6, 0.3), (120, 0.3), (60, 0.02), (10 ** 6, 0.9)])
+def test_guarded_lookup(spark, limit, errors):
+    dice = random.Random(limit)
+    rows = [(dice.choice("ggp"), dice.choice("uvwxyz"), dice.randrange(2_600_000, 2_760_000), i,
+             "error" if dice.random() < errors else "none", dice.choice([0, 900, 20000])) for i in range(700)]
+    log = spark.createDataFrame(rows, "provider string, url string, ts long, seq long, outcome string, ttl long").repartition(3)
+    found = guards.guarded_lookup(log, limit, 3000, ["g"])
+    assert found.columns == [*log.columns, "decision"]
+    assert {r.seq: r.decision for r in found.collect()} == guarded(rows, limit, 3000)

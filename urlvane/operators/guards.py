@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
 from urlvane.functions import times
-from urlvane.operators.ordered import (
-    anchored_windows, consecutive_count, last_before, top_n_per_group,
-)
+from urlvane.functions.scratch import discard, written
+from urlvane.operators.ordered import anchored_windows, consecutive_count, first_n, last_before
 from urlvane.settings import Settings
 
 
@@ -22,17 +21,16 @@ def lookup_ttl(settings: Settings, provider: Column, malicious: Column, in_datab
     ).otherwise(listed)
 
 
-def cache_replay(log: DataFrame, keys: list[str], ts: str, seq: str, ttl: str, error: Column,
-                 chunk_s: int = 21600) -> DataFrame:
+def cache_replay(log: DataFrame, keys: list[str], ts: str, seq: str, ttl: str, error: Column) -> DataFrame:
     """Add `cache_hit`: a miss opens a TTL window, hits never extend it, errors store nothing."""
     stores = ~error & (F.col(ttl) > 0)
     until = F.when(stores, F.col(ts) + F.col(ttl) - 1).otherwise(F.col(ts) - 1)
-    flagged = anchored_windows(log, keys, ts, seq, until, "_miss", chunk_s)
+    flagged = anchored_windows(log, keys, ts, seq, until, "_miss")
     return flagged.withColumn("cache_hit", ~F.col("_miss")).drop("_miss")
 
 
 def verdict_cache_asof(asks: DataFrame, puts: DataFrame, keys: list[str], ts: str, seq: str,
-                       payload: list[str], chunk_s: int = 21600) -> DataFrame:
+                       payload: list[str]) -> DataFrame:
     """Latest put strictly before each ask, used only while it has not expired.
 
     `puts` carries `expires_at` and the payload columns; `seq` orders equal times.
@@ -41,7 +39,7 @@ def verdict_cache_asof(asks: DataFrame, puts: DataFrame, keys: list[str], ts: st
     stored = puts.select(*keys, ts, seq, value.alias("_put"), F.lit(True).alias("_is_put"))
     merged = asks.withColumn("_is_put", F.lit(False)).unionByName(stored, allowMissingColumns=True)
     merged = merged.withColumn("_order", F.struct(seq, "_is_put"))  # an ask comes before its own put
-    seen = last_before(merged, keys, ts, "_order", F.when(F.col("_is_put"), F.col("_put")), "_found", chunk_s)
+    seen = last_before(merged, keys, ts, "_order", F.when(F.col("_is_put"), F.col("_put")), "_found")
     alive = F.col("_found.expires_at") > F.col(ts)
     return (
         seen.filter(~F.col("_is_put"))
@@ -56,36 +54,28 @@ def quota_guard(calls: DataFrame, limit: int, ts: str = "ts", seq: str = "seq",
                 provider: str = "provider", used: DataFrame | None = None) -> DataFrame:
     """Add `allowed`: the first `limit` calls per provider and UTC month.
 
-    `used` (provider, month, used) counts calls made before these. The cut is the last
-    allowed call. One cut row per provider and month is broadcast, so its size is known
-    and no provider's calls meet in one task.
+    `used` (provider, month, used) counts calls made before these. Counts per hour and second give the first
+    refused call of each provider and month; no provider's calls meet in one task.
     """
     calls = calls.withColumn("month", times.utc_month(ts))
-    slim = calls.select(provider, "month", F.col(ts).alias("_t"), F.col(seq).alias("_s"))
-    first = top_n_per_group(slim, [provider, "month"], ["_t", "_s"], limit, rank="_rank")
     left = F.lit(limit)
     if used is not None:
-        first = first.join(F.broadcast(used), [provider, "month"], "left")
+        calls = calls.join(used, [provider, "month"], "left")
         left = F.lit(limit) - F.coalesce("used", F.lit(0))
-    cuts = first.filter(F.col("_rank") <= left).groupBy(provider, "month").agg(
-        F.max(F.struct("_t", "_s")).alias("_cut")
-    )
-    joined = calls.join(F.broadcast(cuts), [provider, "month"], "left")
-    within = F.struct(F.col(ts).alias("_t"), F.col(seq).alias("_s")) <= F.col("_cut")
-    return joined.withColumn("allowed", F.coalesce(within, F.lit(False))).drop("_cut")
+    return first_n(calls, [provider, "month"], ts, seq, left, "allowed").drop(*(["used"] if used is not None else []))
 
 
-def circuit_open(log: DataFrame, cooldown_s: int, ts: str = "ts", seq: str = "seq", chunk_s: int = 60) -> DataFrame:
+def circuit_open(log: DataFrame, cooldown_s: int, ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Add `open`: the provider's latest earlier outcome is an error less than `cooldown_s` old."""
     outcome = F.struct(F.col(ts).alias("at"), (F.col("outcome") == "error").alias("failed"))
-    seen = last_before(log, ["provider"], ts, seq, outcome, "_latest", chunk_s)
+    seen = last_before(log, ["provider"], ts, seq, outcome, "_latest")
     is_open = F.col("_latest.failed") & (F.col("_latest.at") + cooldown_s > F.col(ts))
     return seen.withColumn("open", F.coalesce(is_open, F.lit(False))).drop("_latest")
 
 
-def consecutive_failures(log: DataFrame, ts: str = "ts", seq: str = "seq", chunk_s: int = 60) -> DataFrame:
+def consecutive_failures(log: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFrame:
     failed = F.col("outcome") == "error"
-    return consecutive_count(log, ["provider"], ts, seq, failed, ~failed, "failures", chunk_s)
+    return consecutive_count(log, ["provider"], ts, seq, failed, ~failed, "failures")
 
 
 def monthly_usage(log: DataFrame, ts: str = "ts") -> DataFrame:
@@ -108,3 +98,55 @@ def budget_status(usage: DataFrame, limit: int) -> DataFrame:
         "budget_state": F.when(used >= 1.0, "stop").when(used >= 0.9, "warning")
         .when(used >= 0.75, "info").otherwise("ok"),
     })
+
+
+def guarded_lookup(log: DataFrame, limit: int, cooldown_s: int, guarded: list[str], ts: str = "ts", seq: str = "seq",
+                   used: DataFrame | None = None) -> DataFrame:
+    """Add `decision`: cache_hit, circuit_open, quota_guard, error or called, as the guards act one after the other.
+
+    Rows: provider, url (or its key), ts in seconds, unique seq, outcome (of the call if it is made) and ttl. A live cached answer
+    is used first. Else, for the `guarded` providers, an open circuit blocks the call, then a used-up month does; the
+    call counts against the month also if it fails. A failed call opens the circuit for `cooldown_s`; one
+    that succeeds is cached for its ttl. A blocked call fills no cache, opens no circuit and costs no quota.
+
+    The three rules depend on each other, but only on earlier rows. Each round settles all caches given the
+    blocked rows of the round before, then all circuits given the caches, then all quotas, each as one fold over sorted ranges. The rows
+    that are right grow by one at least with each round, so that unchanged rounds are the answer; in practice a
+    round is needed for each time that a cached answer has hidden an error which would have opened the circuit.
+    Rows of other providers take part in the first fold only.
+    """
+    columns = log.columns
+    log = written(log, "lookups")
+    error = F.col("outcome") == "error"
+    own = written(
+        log.filter(F.col("provider").isin(guarded)).select("provider", "url", ts, seq, "outcome", "ttl")
+        .withColumn("blocked", F.lit(None).cast("string")), "guarded")
+    while True:
+        stores = ~error & F.col("blocked").isNull() & (F.col("ttl") > 0)
+        until = F.when(stores, F.col(ts) + F.col("ttl") - 1).otherwise(F.col(ts) - 1)
+        missed = anchored_windows(own, ["provider", "url"], ts, seq, until, "_miss")
+        tried = written(missed, "tried")
+        opens = error & (F.coalesce("blocked", F.lit("")) != "quota_guard")
+        until = F.when(opens, F.col(ts) + cooldown_s - 1).otherwise(F.col(ts) - 1)
+        closed = written(anchored_windows(tried.filter("_miss"), ["provider"], ts, seq, until, "_closed"), "closed")
+        calls = quota_guard(closed.filter("_closed"), limit, ts, seq, used=used).select(seq, F.col("allowed").alias("_allowed"))
+        now = (
+            tried.join(closed.select(seq, "_closed"), seq, "left").join(calls, seq, "left")
+            .withColumn("_now", F.when(~F.col("_miss"), "cache_hit").when(~F.col("_closed"), "circuit_open").when(~F.col("_allowed"), "quota_guard"))
+        )
+        blocked = F.when(F.col("_now") != "cache_hit", F.col("_now"))
+        after = written(now.select(
+            "provider", "url", ts, seq, "outcome", "ttl", blocked.alias("blocked"), (F.col("_now") == "cache_hit").alias("_hit"),
+            (~blocked.eqNullSafe(F.col("blocked"))).alias("_changed")), "guarded")
+        changed = after.filter("_changed").limit(1).count()
+        discard(own, tried, closed)
+        own = after.drop("_changed")
+        if not changed:
+            break
+        own = own.drop("_hit")
+    rest = log.filter(~F.coalesce(F.col("provider").isin(guarded), F.lit(False)))
+    plain = cache_replay(rest, ["provider", "url"], ts, seq, "ttl", error).withColumn("_blocked", F.lit(None).cast("string"))
+    found = own.select(seq, F.col("blocked").alias("_blocked"), F.coalesce("_hit", F.lit(False)).alias("cache_hit"))
+    both = plain.unionByName(log.filter(F.col("provider").isin(guarded)).join(found, seq))
+    decision = F.when(F.col("cache_hit"), "cache_hit").when(F.col("_blocked").isNotNull(), F.col("_blocked")).when(error, "error").otherwise("called")
+    return both.withColumn("decision", decision).select(*columns, "decision")

@@ -171,10 +171,9 @@ def dedup_key(document: Column | None = None) -> Column:
 
 
 def dedup_anchored(df: DataFrame, time_ms: str, seq: str, window_ms: int = 2000,
-                   key: Column | None = None, chunk_ms: int | None = None) -> DataFrame:
+                   key: Column | None = None) -> DataFrame:
     """Add `kept`: false within `window_ms` (inclusive) of the last kept event of the key."""
     keyed = df.withColumn("_dedup_key", dedup_key() if key is None else key)
-    chunk = chunk_ms or max(1800 * window_ms, 3_600_000)
     return anchored_windows(
-        keyed, ["_dedup_key"], time_ms, seq, F.col(time_ms) + F.lit(window_ms), "kept", chunk, window_ms + 1
+        keyed, ["_dedup_key"], time_ms, seq, F.col(time_ms) + F.lit(window_ms), "kept"
     ).drop("_dedup_key")

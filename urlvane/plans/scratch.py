@@ -1,24 +1,5 @@
 """Where intermediate tables go: the shared folder the session names."""
 
-from __future__ import annotations
+from urlvane.functions.scratch import shared_folder
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import SparkSession
-
-
-@cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="urlvane-")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_base()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["shared_folder"]
