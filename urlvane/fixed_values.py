@@ -165,3 +165,9 @@ LEGACY_MODEL_KIND = "legacy_svr"
 DEFAULT_THRESHOLD = 0.8
 LEGACY_THRESHOLD = 0.5
 REVIEW_THRESHOLD = 0.07
+
+# Texts that name why a lookup was not made.
+CIRCUIT_TEXT = "Google Web Risk circuit breaker is open"
+QUOTA_TEXT = "Google Web Risk monthly request guard reached"
+REQUEST_TEXT = "Google Web Risk request failed"
+DISABLED_TEXT = "reputation provider is disabled"

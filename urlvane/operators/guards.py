@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from urlvane import fixed_values as fv
 from urlvane.functions import times
 from urlvane.functions.scratch import discard, written
-from urlvane.operators.ordered import anchored_windows, consecutive_count, first_n, last_before
+from urlvane.operators.ordered import anchored_windows, consecutive_count, first_n, in_ranges, last_before
 from urlvane.settings import Settings
 
 
@@ -100,53 +100,126 @@ def budget_status(usage: DataFrame, limit: int) -> DataFrame:
     })
 
 
+def _fold_guards(limit: int, cooldown_s: int, ts: str, seq: str):
+    """Walk sorted ranges, batch by batch, through cache, circuit and quota in turn.
+
+    Kinds of rows given out: row (a decision), and of a range's end circuit (open until), calls (made per month) and
+    cache (expiry of each answer put).
+    """
+    names = ["_kind", "_part", "provider", "_row", "decision", "_key", "month", "_value"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int32(), pa.string(), None, pa.string(), pa.string(), pa.string(), pa.int64()]
+        here, row_kind = None, None
+        until, cache, made, before = 0, {}, {}, {}
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k or row_kind) for c, k in zip(zip(*rows), kinds)], names)
+
+        def ends():
+            return [("circuit", *here, None, None, None, None, until),
+                    *[("calls", *here, None, None, None, m, n) for m, n in made.items()],
+                    *[("cache", *here, None, None, k, None, v) for k, v in cache.items()]]
+
+        for batch in batches:
+            out = []
+            row_kind = batch.column(seq).type
+            columns = ("_part", "provider", ts, seq, "_key", "month", "_fails", "ttl", "_open_in", "_used_in", "_until_in")
+            for part, provider, at, row, key, month, fails, ttl, open_in, used_in, until_in in zip(
+                    *[batch.column(c).to_pylist() for c in columns]):
+                if here != (part, provider):
+                    if here:
+                        out += ends()
+                    here, until, cache, made = (part, provider), open_in or 0, {}, {}
+                if cache.get(key, until_in or 0) > at:
+                    decision = "cache_hit"
+                elif until > at:
+                    decision = "circuit_open"
+                elif made.get(month, 0) + (used_in or 0) >= limit:
+                    decision = "quota_guard"
+                else:
+                    made[month] = made.get(month, 0) + 1
+                    decision = "error" if fails else "called"
+                    if fails:
+                        until = at + cooldown_s
+                    elif (ttl or 0) > 0:
+                        cache[key] = at + ttl
+                out.append(("row", part, provider, row, decision, None, None, None))
+            if out:
+                yield batch_of(out)
+        if here:
+            yield batch_of(ends())
+
+    return run
+
+
 def guarded_lookup(log: DataFrame, limit: int, cooldown_s: int, guarded: list[str], ts: str = "ts", seq: str = "seq",
                    used: DataFrame | None = None) -> DataFrame:
     """Add `decision`: cache_hit, circuit_open, quota_guard, error or called, as the guards act one after the other.
 
-    Rows: provider, url (or its key), ts in seconds, unique seq, outcome (of the call if it is made) and ttl. A live cached answer
-    is used first. Else, for the `guarded` providers, an open circuit blocks the call, then a used-up month does; the
-    call counts against the month also if it fails. A failed call opens the circuit for `cooldown_s`; one
-    that succeeds is cached for its ttl. A blocked call fills no cache, opens no circuit and costs no quota.
-
-    The three rules depend on each other, but only on earlier rows. Each round settles all caches given the
-    blocked rows of the round before, then all circuits given the caches, then all quotas, each as one fold over sorted ranges. The rows
-    that are right grow by one at least with each round, so that unchanged rounds are the answer; in practice a
-    round is needed for each time that a cached answer has hidden an error which would have opened the circuit.
-    Rows of other providers take part in the first fold only.
+    Rows: provider, url (or its key), ts in seconds, unique seq, outcome (of the call if it is made) and ttl. A live cached
+    answer is used first. Else, for the `guarded` providers, an open circuit blocks the call, then a used-up month does;
+    a call counts against the month also if it fails. A failed call opens the circuit for `cooldown_s`, one that
+    succeeds is cached for its ttl. A blocked call fills no cache, opens no circuit and costs no quota. `used` (provider, month,
+    used) counts earlier calls. Other providers have a cache only. A null url is a key, a null ttl caches nothing.
+
+    A hot provider's rows are sorted into ranges by row count. What a range does depends on the state it is entered with:
+    the end of the open circuit, the calls of the month, and the expiry of its URLs' answers. All ranges are
+    walked at once from the states the round before left behind, and again until the states stay the same. A range whose
+    entry is right has a right exit, so the right ranges grow by one at least with each round; in practice a state
+    is forgotten within a range, and a few rounds do.
     """
-    columns = log.columns
+    error = F.coalesce(F.col("outcome") == "error", F.lit(False))
+    is_guarded = F.coalesce(F.col("provider").isin(guarded), F.lit(False))
     log = written(log, "lookups")
-    error = F.col("outcome") == "error"
-    own = written(
-        log.filter(F.col("provider").isin(guarded)).select("provider", "url", ts, seq, "outcome", "ttl")
-        .withColumn("blocked", F.lit(None).cast("string")), "guarded")
+    slim = log.filter(is_guarded).select(
+        "provider", ts, seq, F.coalesce("url", F.lit("\0")).alias("_key"), times.utc_month(ts).alias("month"), error.alias("_fails"), "ttl")
+    rows = in_ranges(slim, ["provider"], [ts, seq], "guarded")
+    keys = written(rows.select("_part", "provider", "_key", F.lit(None).cast("long").alias("_value")).distinct(), "guarded-keys")
+    months = rows.groupBy("_part", "provider", "month").agg(F.lit(0).cast("long").alias("_value"))
+    if used is None:
+        used = log.sparkSession.createDataFrame([], "provider string, month string, used long")
+    kind = log.schema[seq].dataType.simpleString()
+    before = lambda *by: Window.partitionBy("provider", *by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    state, ends = None, None
     while True:
-        stores = ~error & F.col("blocked").isNull() & (F.col("ttl") > 0)
-        until = F.when(stores, F.col(ts) + F.col("ttl") - 1).otherwise(F.col(ts) - 1)
-        missed = anchored_windows(own, ["provider", "url"], ts, seq, until, "_miss")
-        tried = written(missed, "tried")
-        opens = error & (F.coalesce("blocked", F.lit("")) != "quota_guard")
-        until = F.when(opens, F.col(ts) + cooldown_s - 1).otherwise(F.col(ts) - 1)
-        closed = written(anchored_windows(tried.filter("_miss"), ["provider"], ts, seq, until, "_closed"), "closed")
-        calls = quota_guard(closed.filter("_closed"), limit, ts, seq, used=used).select(seq, F.col("allowed").alias("_allowed"))
-        now = (
-            tried.join(closed.select(seq, "_closed"), seq, "left").join(calls, seq, "left")
-            .withColumn("_now", F.when(~F.col("_miss"), "cache_hit").when(~F.col("_closed"), "circuit_open").when(~F.col("_allowed"), "quota_guard"))
-        )
-        blocked = F.when(F.col("_now") != "cache_hit", F.col("_now"))
-        after = written(now.select(
-            "provider", "url", ts, seq, "outcome", "ttl", blocked.alias("blocked"), (F.col("_now") == "cache_hit").alias("_hit"),
-            (~blocked.eqNullSafe(F.col("blocked"))).alias("_changed")), "guarded")
-        changed = after.filter("_changed").limit(1).count()
-        discard(own, tried, closed)
-        own = after.drop("_changed")
-        if not changed:
+        entered = rows.withColumns({"_open_in": F.lit(0), "_used_in": F.lit(0), "_until_in": F.lit(0)}).withColumns(
+            {c: F.col(c).cast("long") for c in ("_open_in", "_used_in", "_until_in")})
+        if ends is not None:
+            end = lambda name: ends.filter(F.col("_kind") == name)
+            circuit = end("circuit").select("_part", "provider", F.last("_value").over(before()).alias("_open_in"))
+            calls = end("calls").select("_part", "provider", "month", "_value").unionByName(months)
+            calls = calls.groupBy("_part", "provider", "month").agg(F.sum("_value").alias("_value")).select(
+                "_part", "provider", "month", F.coalesce(F.sum("_value").over(before("month")), F.lit(0)).alias("_calls"))
+            calls = calls.join(used, ["provider", "month"], "left").select(
+                "_part", "provider", "month", (F.col("_calls") + F.coalesce("used", F.lit(0))).alias("_used_in"))
+            answers = end("cache").select("_part", "provider", "_key", "_value").unionByName(keys)
+            answers = answers.groupBy("_part", "provider", "_key").agg(F.max("_value").alias("_value")).select(
+                "_part", "provider", "_key", F.last("_value", ignorenulls=True).over(before("_key")).alias("_until_in"))
+            entered = (
+                rows.join(circuit, ["_part", "provider"], "left").join(calls, ["_part", "provider", "month"], "left")
+                .join(answers.filter("_until_in IS NOT NULL"), ["_part", "provider", "_key"], "left")
+            )
+        elif used.limit(1).count():
+            entered = rows.join(used.withColumnRenamed("used", "_used_in"), ["provider", "month"], "left").withColumns(
+                {"_open_in": F.lit(0).cast("long"), "_until_in": F.lit(0).cast("long")})
+        walked = written(
+            entered.repartition("_part").sortWithinPartitions("_part", "provider", ts, seq).mapInArrow(
+                _fold_guards(limit, cooldown_s, ts, seq),
+                f"_kind string, _part int, provider string, _row {kind}, decision string, _key string, month string, _value long"), "walked")
+        if ends is not None:
+            discard(ends)
+        ends = walked
+        mark = walked.filter("_kind <> 'row'").agg(
+            F.count("*"), F.sum(F.xxhash64("_kind", "_part", "provider", "_key", "month", "_value").cast("decimal(38,0)"))).first()
+        if mark == state:
             break
-        own = own.drop("_hit")
-    rest = log.filter(~F.coalesce(F.col("provider").isin(guarded), F.lit(False)))
-    plain = cache_replay(rest, ["provider", "url"], ts, seq, "ttl", error).withColumn("_blocked", F.lit(None).cast("string"))
-    found = own.select(seq, F.col("blocked").alias("_blocked"), F.coalesce("_hit", F.lit(False)).alias("cache_hit"))
-    both = plain.unionByName(log.filter(F.col("provider").isin(guarded)).join(found, seq))
-    decision = F.when(F.col("cache_hit"), "cache_hit").when(F.col("_blocked").isNotNull(), F.col("_blocked")).when(error, "error").otherwise("called")
-    return both.withColumn("decision", decision).select(*columns, "decision")
+        state = mark
+    discard(rows, keys)
+    found = walked.filter("_kind = 'row'").select(F.col("_row").alias(seq), "decision")
+    plain = cache_replay(log.filter(~is_guarded), ["provider", "url"], ts, seq, "ttl", error)
+    plain = plain.withColumn("decision", F.when(F.col("cache_hit"), "cache_hit").when(error, "error").otherwise("called")).drop("cache_hit")
+    return plain.unionByName(log.filter(is_guarded).join(found, seq))

@@ -51,8 +51,8 @@ def last_before(df: DataFrame, keys: list[str], time: str, seq: str, value: Colu
     along = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = _crossing(rows, keys, [newest]).select(*keys, "_part", F.last("_last", ignorenulls=True).over(along).alias("_carry"))
     inside = Window.partitionBy("_part", *keys).orderBy(time, seq).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("_found", F.last("_value", ignorenulls=True).over(inside))
-    return _joined(found, carried, keys).withColumn(out, F.coalesce("_found", "_carry")).drop("_part", "_value", "_found", "_carry")
+    found = rows.withColumn("_here", F.last("_value", ignorenulls=True).over(inside))
+    return _joined(found, carried, keys).withColumn(out, F.coalesce("_here", "_carry")).drop("_part", "_value", "_here", "_carry")
 
 
 def consecutive_count(df: DataFrame, keys: list[str], time: str, seq: str, hit: Column, reset: Column, out: str) -> DataFrame:

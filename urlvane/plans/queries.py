@@ -20,6 +20,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ML_ON = Settings(ml_enabled=True, threshold=inputs.SCORE_THRESHOLD)
 WEB_RISK_TYPES = ("SOCIAL_ENGINEERING", "MALWARE")
 QUOTA = 1500
+GUARDS = Settings(provider=fv.WEB_RISK, circuit_s=3600, monthly_limit=1000)
+ML_GUARDS = Settings(provider=fv.WEB_RISK, circuit_s=3600, monthly_limit=1500, ml_enabled=True, threshold=inputs.SCORE_THRESHOLD)
 DEDUP_WINDOW_MS = 3_600_000
 
 
@@ -312,7 +314,7 @@ def dedup_anchored(spark, sf):
         "event_id", "user_id", "event_type", times.epoch_ms("ts").alias("t_ms")
     )
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
-    return navigation.dedup_anchored(events, "t_ms", "event_id", DEDUP_WINDOW_MS, key, 86_400_000)
+    return navigation.dedup_anchored(events, "t_ms", "event_id", DEDUP_WINDOW_MS, key)
 
 
 # --- Reputation ------------------------------------------------------------
@@ -426,6 +428,12 @@ def circuit_open(spark, sf):
     return guards.circuit_open(log, 300)
 
 
+@query
+def guarded_lookup(spark, sf):
+    log = _log_with_ttl(spark, sf).select("seq", "provider", "url", "ts", "outcome", "ttl")
+    return guards.guarded_lookup(log, GUARDS.monthly_limit, GUARDS.circuit_s, [fv.WEB_RISK]).drop("url")
+
+
 @query
 def consecutive_failures(spark, sf):
     log = inputs.lookup_log(spark, sf).select("provider", "ts", "seq", "outcome")
@@ -478,6 +486,51 @@ def classify_navigation(spark, sf):
     )
 
 
+def _guarded(spark, sf, settings):
+    """Navigations after the whole guard chain of the Web Risk provider, with the answer or the reason why there is none."""
+    rows = inputs.nav_events(spark, sf).select("seq", "event_id", "url", "page_id", "event_type", F.col("ts_s").alias("ts"))
+    df = reputation.reputation_webrisk(rows, inputs.webrisk_feed(spark, sf).drop("page_id"), F.lit(inputs.NOW_S), WEB_RISK_TYPES)
+    failed = (F.col("event_type") == "error") | F.col("rep_error").isNotNull()
+    outcome = F.when(failed, "error").when(F.col("rep_malicious"), "match").otherwise("none")
+    df = df.withColumns({"provider": F.lit(fv.WEB_RISK), "outcome": outcome})
+    ttl = guards.lookup_ttl(settings, F.col("provider"), F.col("rep_malicious"), F.col("in_database"), F.col("expire_at"), F.col("ts"))
+    df = df.withColumn("ttl", F.when(failed, 0).otherwise(ttl).cast("long"))
+    df = guards.guarded_lookup(df, settings.monthly_limit, settings.circuit_s, [fv.WEB_RISK])
+    df = urls.with_url_parts(df, "url", "_h_").withColumn("url_host", F.col("_h_host"))
+    df = urls.drop_url_parts(df, "_h_")
+    decision = F.col("decision")
+    return df.withColumns({
+        "cache_hit": decision == "cache_hit",
+        "rep_failure": F.when(decision.isin("circuit_open", "quota_guard", "error"), decision),
+        "rep_error": F.when(decision == "circuit_open", fv.CIRCUIT_TEXT).when(decision == "quota_guard", fv.QUOTA_TEXT)
+        .when(decision == "error", F.coalesce("rep_error", F.lit(fv.REQUEST_TEXT))),
+        "threat_types": F.array_join("threat_types", ","),
+    })
+
+
+@query
+def classify_webrisk(spark, sf):
+    """The whole event: guards, decision table and the nested classification, here with its fields side by side."""
+    df = classify.score_distinct(_guarded(spark, sf, ML_GUARDS), inputs.with_score)
+    df = classify.classify_navigation(df, ML_GUARDS, fv.WEB_RISK)
+    events = classify.classification_events(df.withColumnRenamed("event_id", "source_event_id"), [
+        "seq", "url", "url_host", "source_event_id", "cache_hit", "status", "malicious", "source", "reputation_provider", "degraded",
+        "reputation_status", "reputation_error", "ml_status", "error", "score", "threshold",
+    ])
+    return events.select("integration", "schema_version", "classification.*")
+
+
+@query
+def classify_disabled(spark, sf):
+    """Without a provider every verdict is the model's, and marked as degraded."""
+    rows = inputs.nav_events(spark, sf).select("seq", "url")
+    none = rows.withColumns({
+        "rep_status": F.lit(None).cast("string"), "rep_malicious": F.lit(False), "rep_failure": F.lit("error"), "rep_error": F.lit(fv.DISABLED_TEXT)})
+    df = classify.classify_navigation(classify.score_distinct(none, inputs.with_score), ML_ON, "disabled")
+    return df.select("seq", "status", "malicious", "source", "degraded", "reputation_provider", "reputation_status", "reputation_error",
+                     "ml_status", "error", "score")
+
+
 @query
 def classify_navigation_no_ml(spark, sf):
     return classified(spark, sf, Settings()).select("seq", "status", "malicious", "source", "error", "error_type")
