@@ -86,3 +86,22 @@ def test_stream_guards_carry_over_batches(spark, tmp_path):
     out = {r.seq: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert [out[i].allowed for i in range(8)] == [True] * 6 + [False] * 2
     assert [out[i].open for i in range(8)] == [False] * 4 + [True] + [False] * 3
+
+
+def test_state_is_cleared_and_late_rows_are_seen(spark, tmp_path):
+    """After the last window's end no state is left; a row older than the lateness comes out as late and changes nothing."""
+    start, day = 1_700_000_000_000, 86_400_000
+    batches = [[(0, start, "a"), (1, start + 1000, "a"), (2, start + 60_000, "b")],
+               [(3, start + 30_000, "a"), (4, start + 59_000, "a")],  # 3 is older than the newest less ten seconds
+               [(5, start + 3 * day, "c")], [(6, start + 6 * day, "d")], [(7, start + 9 * day, "d")]]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "seq long, t long, k string").withColumn("at", F.timestamp_millis("t"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = pipelines.stream_dedup(stream, "at", "t", "seq", F.col("k"), 2000, with_late=True)
+    query = pipelines.write_stream(out, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    rows = {r.seq: r.late for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {0: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(states) > states[-1]

@@ -6,13 +6,11 @@ expiry. Sinks are idempotent per batch: a repeated batch overwrites its own fold
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from urlvane.operators import guards, navigation
 
@@ -49,68 +47,109 @@ def stream_validate(events: DataFrame, accepted_path: str, rejected_path: str, c
 
 # --- Keyed windows ---------------------------------------------------------
 
-def _keyed_windows(time: str, seq: str, columns: list[str], out: str, per_second: int):
-    """The per-key function; self-contained, so workers need only numpy and pandas."""
-
-    def walk(at: np.ndarray, until: np.ndarray, cover: int) -> tuple[np.ndarray, int]:
-        opened = np.zeros(len(at), bool)
-        for i in range(len(at)):
-            if at[i] > cover:
-                opened[i] = True
-                if until[i] >= at[i]:
-                    cover = int(until[i])
-        return opened, cover
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([time, seq], kind="stable")
-        cover = state.get[0] if state.exists else -(2**62)
-        opened, cover = walk(rows[time].to_numpy(np.int64), rows["_until"].to_numpy(np.int64), cover)
-        state.update((cover,))
-        expiry_ms = (cover + 1) * 1000 // per_second
-        if expiry_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(int(expiry_ms))
-        rows[out] = opened
-        yield rows[[*columns, out]]
-
-    return run
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AnchoredWindows(StatefulProcessor):
+    """Per key the end of the last window opened, in a value state that an event-time timer clears.
+
+    Rows of a key are taken in (time, seq) order within a micro-batch. A row is late if it is older than the largest event time seen
+    less `lateness_ms`; late rows come out flagged and change nothing. Spark's own watermark lies `grace_ms` behind
+    that, so rows are lost only if they are later than both together. `per_second` is the unit of the time column.
+    """
+
+    def __init__(self, time: str, seq: str, columns: list[str], out: str, per_second: int, grace_ms: int):
+        self.time, self.seq, self.columns, self.out = time, seq, columns, out
+        self.unit, self.grace = per_second, grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cover = handle.getValueState("cover", T.StructType([T.StructField("until", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = timerValues.getCurrentWatermarkInMs()
+        late_before = (known + self.grace) * self.unit // 1000 if known > 0 else _NEVER
+        frames = pd.concat(list(rows), ignore_index=True)
+        frames.columns = [*self.columns, "_until"]  # Spark hands the columns over in order, not always by name
+        frames = frames.sort_values([self.time, self.seq], kind="stable")
+        cover = self.cover.get()[0] if self.cover.exists() else _NEVER
+        opened, late = [], []
+        for at, until in zip(frames[self.time].tolist(), frames["_until"].tolist()):
+            late.append(at < late_before)
+            opened.append(not late[-1] and at > cover)
+            if opened[-1] and until >= at:
+                cover = int(until)
+        if any(opened):
+            self._keep(cover, known)
+        frames[self.out], frames["late"] = opened, late
+        yield frames[[*self.columns, self.out, "late"]]
+
+    def _keep(self, cover: int, known: int) -> None:
+        """Remember the cover until no row can be in it and not be late; one timer per key."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(int(timer[0] if isinstance(timer, tuple) else timer))
+        end = (cover + 1) * 1000 // self.unit - self.grace
+        if end > known:
+            self.cover.update((cover,))
+            self.handle.registerTimer(int(end))
+        else:
+            self.cover.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.cover.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+_NEVER = -(2**62)
+
+
+def _milliseconds(spark: SparkSession, text: str) -> int:
+    return spark.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {text}")) / 1000).cast("long")).first()[0]
 
 
 def keyed_windows(df: DataFrame, keys: list[str], event_time: str, time: str, seq: str,
-                  cover_until: Column, out: str, per_second: int, lateness: str) -> DataFrame:
-    """Flag rows that open a window, with one number of state per key.
+                  cover_until: Column, out: str, per_second: int, lateness: str, grace: str = "1 day") -> DataFrame:
+    """Flag rows that open a window (`out`) and rows that came too late to be judged (`late`).
 
-    Within a micro-batch rows are taken in time order; a key's state is dropped once the
-    watermark has passed its window.
+    The state of a key is one number, dropped by a timer once no row within `lateness` can fall into its window. The
+    rows of one key in one micro-batch are sorted in one task: bound the batch with `maxFilesPerTrigger`.
     """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # this operator's state needs it
     columns = df.columns
-    rows = df.withColumn("_until", cover_until.cast("long")).withWatermark(event_time, lateness)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
-    return rows.groupBy(*keys).applyInPandasWithState(
-        _keyed_windows(time, seq, columns, out, per_second), schema, "cover long", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    grace_ms = _milliseconds(spark, grace)
+    delay = f"{_milliseconds(spark, lateness) + grace_ms} milliseconds"
+    rows = df.withColumn("_until", cover_until.cast("long")).withWatermark(event_time, delay)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType()), T.StructField("late", T.BooleanType())])
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        AnchoredWindows(time, seq, columns, out, per_second, grace_ms), schema, "append", "eventTime")
 
 
 def stream_dedup(events: DataFrame, event_time: str, time_ms: str, seq: str, key: Column | None = None,
-                 window_ms: int = 2000, lateness: str = "10 seconds") -> DataFrame:
-    """Events that are not within `window_ms` of the last kept event of their key."""
+                 window_ms: int = 2000, lateness: str = "10 seconds", with_late: bool = False) -> DataFrame:
+    """Events that are not within `window_ms` of the last kept event of their key.
+
+    with_late adds the events that came too late to be judged, with `late` true.
+    """
     keyed = events.withColumn("_key", navigation.dedup_key() if key is None else key)
     flagged = keyed_windows(
         keyed, ["_key"], event_time, time_ms, seq, F.col(time_ms) + window_ms, "kept", 1000, lateness
     )
-    return flagged.filter("kept").drop("_key", "kept")
+    if with_late:
+        return flagged.filter("kept OR late").drop("_key", "kept")
+    return flagged.filter("kept").drop("_key", "kept", "late")
 
 
 def stream_cache(log: DataFrame, event_time: str, ts: str, seq: str, ttl: str, error: Column,
                  lateness: str = "10 minutes") -> DataFrame:
-    """Add `cache_hit` per (provider, url) with a time-to-live in event time."""
+    """Add `cache_hit` per (provider, url) with a time-to-live in event time; a late row is no hit and has `late` true."""
     stores = ~error & (F.col(ttl) > 0)
     until = F.when(stores, F.col(ts) + F.col(ttl) - 1).otherwise(F.col(ts) - 1)
     flagged = keyed_windows(log, ["provider", "url"], event_time, ts, seq, until, "_miss", 1, lateness)
-    return flagged.withColumn("cache_hit", ~F.col("_miss")).drop("_miss")
+    return flagged.withColumn("cache_hit", ~F.col("_miss") & ~F.col("late")).drop("_miss")
 
 
 # --- Guards ----------------------------------------------------------------
