@@ -105,3 +105,27 @@ def test_state_is_cleared_and_late_rows_are_seen(spark, tmp_path):
     assert rows == {0: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
     states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert max(states) > states[-1]
+
+
+def test_tail_holds_back_an_incomplete_line(spark, tmp_path):
+    """Three steps of appending, the last line of a step split in two; stretches shorter than a line."""
+    from urlvane.sources.log_tail import tail_lines
+
+    log, other = tmp_path / "logs" / "a.jsonl", tmp_path / "logs" / "b.jsonl"
+    log.parent.mkdir()
+    steps = [b"one\ntwo\nthr", b"ee\r\n\nfo\xc3", b"\xbcur" + b"x" * 70 + b"\nleft open"]
+    seen = []
+    for i, data in enumerate(steps):
+        with open(log, "ab") as out:
+            out.write(data)
+        other.write_bytes(b"first\n" if i else b"")
+        tail = tail_lines(spark, str(log.parent), partition_bytes=5)
+        query = pipelines.write_stream(tail, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        seen.append(sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).filter("file like '%a.jsonl'").collect()))
+    whole = b"".join(steps).replace(b"\r", b"").decode().split("\n")
+    assert seen == [sorted(whole[:2]), sorted(whole[:4]), sorted(whole[:5])]
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.value for r in rows if r.file.endswith("b.jsonl")] == ["first"]
+    data = log.read_bytes()
+    assert all(data[r.at:].startswith(r.value.encode()) for r in rows if r.file.endswith("a.jsonl"))

@@ -19,6 +19,20 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(made))
 
 
+#: JSON as the standard has it.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_one_object(text: Column | str) -> Column:
+    """Whether a text is one JSON object and nothing else: no second value, no trailing text, no single quotes.
+
+    Put in brackets, such a text is a list of one element; anything behind the object breaks the list or adds to it.
+    """
+    value = F.col(text) if isinstance(text, str) else text
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", STRICT_JSON)
+    return F.coalesce(F.ltrim(value, F.lit(" \t\r\n")).startswith("{") & (F.size(listed) == 1), F.lit(False))
+
+
 def per_distinct(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add columns that depend on `key` alone, computed once per distinct value.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv, schemas
 from urlvane.functions import times, urls
-from urlvane.functions.columns import settle
+from urlvane.functions.columns import STRICT_JSON, is_one_object, settle
 from urlvane.operators.ordered import anchored_windows
 
 
@@ -104,9 +104,9 @@ def acknowledgements(validated: DataFrame) -> DataFrame:
 
 def parse_nav_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Decode one JSON event per line, telling broken JSON from wrong field types."""
-    loose = F.from_json(F.col(value), "map<string,string>", {"mode": "PERMISSIVE"})
+    loose = F.when(is_one_object(value), F.from_json(F.col(value), "map<string,string>", {"mode": "PERMISSIVE", **STRICT_JSON}))
     wide = schemas.with_corrupt(schemas.NAVIGATION, "_bad")
-    strict = F.from_json(F.col(value), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    strict = F.from_json(F.col(value), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", **STRICT_JSON})
     df = lines.withColumns({"_loose": loose, "_event": strict})
     corrupt = F.when(F.col("_loose").isNull(), F.col(value))
     mistyped = F.col("_loose").isNotNull() & F.col("_event._bad").isNotNull()

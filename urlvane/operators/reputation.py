@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv, schemas
+from urlvane.functions.columns import STRICT_JSON, is_one_object
 from urlvane.functions import times
 from urlvane.functions.urls import IPV4, IPV6
 
@@ -91,9 +92,9 @@ def parse_provider_response(df: DataFrame, provider: str, body: str = "body",
     schema = schemas.PHISHTANK_RESPONSE if phish else schemas.WEB_RISK_RESPONSE
     text = F.trim(F.col(body))
     # A bare JSON value wrapped in an array parses exactly when the value itself does.
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
-    root = F.try_element_at(wrapped, F.lit(1))
-    df = df.withColumn("_object", F.from_json(text, "map<string,string>"))
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", {"mode": "PERMISSIVE", **STRICT_JSON})
+    root = F.when(F.size(wrapped) == 1, F.try_element_at(wrapped, F.lit(1)))
+    df = df.withColumn("_object", F.when(is_one_object(text), F.from_json(text, "map<string,string>", STRICT_JSON)))
     df = df.withColumn(
         "response_error",
         F.when(F.octet_length(body) > limit, f"{name} response exceeded size limit")

@@ -239,13 +239,30 @@ def tolerant_jsonl(spark, sf):
     )
 
 
+@query
+def nav_stream(spark, sf):
+    """A log that grows between two runs of the stream; the second run takes up what came since."""
+    from urlvane.plans.scratch import shared_folder
+    from urlvane.streaming import pipelines
+
+    folder = shared_folder(spark, "tail")
+    lines = _damaged_lines(spark, sf).select("value")
+    for half in (0, 1):
+        lines.filter(F.crc32("value") % 2 == half).write.mode("append").text(f"{folder}/log")
+        rows = nav_source.nav_stream(spark, f"{folder}/log").select("event_id", "url", "tab_id")
+        _finish(pipelines.write_stream(rows, f"{folder}/rows", f"{folder}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def _damaged_lines(spark, sf):
-    """JSON lines of which some are cut, garbage or of another type."""
+    """JSON lines of which some are cut, garbage, followed by more text, in single quotes or of another type."""
     events = inputs.nav_dirty(spark, sf).select("seq", F.to_json(F.struct(*schemas.NAVIGATION.fieldNames())).alias("line"))
     return events.select(
         "seq",
         F.when(F.col("seq") % 10 == 3, F.substring("line", 1, 40)).when(F.col("seq") % 10 == 4, "garbage")
         .when(F.col("seq") % 10 == 5, F.replace("line", F.lit('"tab_id":'), F.lit('"tab_id":"x","t":')))
+        .when(F.col("seq") % 40 == 6, F.concat("line", F.lit(" xyz"))).when(F.col("seq") % 40 == 16, F.concat("line", F.lit("}")))
+        .when(F.col("seq") % 40 == 26, F.concat("line", F.lit(", {}"))).when(F.col("seq") % 40 == 36, F.lit("{'event_id': 'x'}"))
         .otherwise(F.col("line")).alias("value"),
     )
 

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from urlvane import schemas
+from urlvane.functions.columns import STRICT_JSON, is_one_object
+from urlvane.sources.log_tail import tail_lines
 
 
-def nav_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """JSON event files as a stream; files already there are read first.
-
-    The file source follows new files, not appends, so writers must land whole files.
-    """
-    reader = spark.readStream.schema(schemas.NAVIGATION)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
-
-
-def nav_line_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines as a stream, so that undecodable lines reach validation."""
-    return spark.readStream.text(path)
+def nav_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Decodable events of appended JSONL logs as a stream; an incomplete last line waits until it is whole."""
+    return tolerant_lines(tail_lines(spark, path))
 
 
 def tolerant_jsonl(spark: SparkSession, path: str, schema=schemas.NAVIGATION) -> DataFrame:
@@ -30,15 +21,15 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema=schemas.NAVIGATION) ->
 
 
 def tolerant_lines(lines: DataFrame, value: str = "value", schema=schemas.NAVIGATION) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **STRICT_JSON}
     parsed = lines.withColumn("_row", F.from_json(F.col(value), schemas.with_corrupt(schema), options))
-    usable = F.col("_row").isNotNull() & F.col("_row._corrupt").isNull() & F.startswith(F.trim(F.col(value)), F.lit("{"))
+    usable = F.col("_row").isNotNull() & F.col("_row._corrupt").isNull() & is_one_object(value)
     return parsed.filter(usable).select("_row.*").drop("_corrupt")
 
 
 def parse_alert(lines: DataFrame, value: str = "value") -> DataFrame:
     """Decode nested alerts; a line that is no JSON object gets `alert_error`."""
-    loose = F.from_json(F.col(value), "map<string,string>")
-    df = lines.withColumn("_object", loose).withColumn("alert", F.from_json(F.col(value), schemas.ALERT))
-    df = df.withColumn("alert_error", F.when(F.col("_object").isNull(), "alert root is not an object"))
+    whole = is_one_object(value)
+    df = lines.withColumn("alert", F.when(whole, F.from_json(F.col(value), schemas.ALERT, STRICT_JSON)))
+    df = df.withColumn("alert_error", F.when(~whole, "alert root is not an object"))
     return df.select(*[c for c in lines.columns], "alert.*", "alert_error")
