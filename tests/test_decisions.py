@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlvane import fixed_values as fv
+from urlvane.functions.columns import is_one_object
 from urlvane.operators import alerts, classify, features, metrics, navigation, reputation, selection
 from urlvane.settings import Settings
 from urlvane.sources import navigation as nav_source, sinks, url_lists
@@ -214,3 +215,24 @@ def test_sinks(spark, tmp_path):
     sinks.write_feature_csv(selection.feature_dataset(labeled, 5), str(tmp_path / "features"))
     both = spark.read.option("header", True).csv(str(tmp_path / "features" / "urldata.csv"))
     assert both.columns == fv.FEATURE_FILE_COLUMNS and both.count() == 2
+
+
+def test_repeated_feed_rows_repeat_no_event(spark):
+    events = spark.createDataFrame([(1, "http://a.test/"), (2, "http://b.test/"), (3, "http://a.test/")], "seq int, url string")
+    feed = spark.createDataFrame([("http://a.test/", "true", "no", "yes", 9, "x"), ("http://a.test/", "true", "yes", "yes", 5, "y")],
+                                 "url string, in_database string, verified string, valid string, phish_id int, phish_detail_page string")
+    found = {r.seq: (r.rep_status, r.phish_id) for r in reputation.reputation_phishtank(events, feed).collect()}
+    assert found == {1: ("malicious", "5"), 2: ("not_found", None), 3: ("malicious", "5")}
+    assert reputation.reputation_phishtank(events, feed).count() == 3
+    ranks = spark.createDataFrame([("h", 5), ("h", 200000)], "host string, rank int")
+    hosts = spark.createDataFrame([("h",), ("g",)], "host string")
+    assert {tuple(r) for r in features.traffic_rank_flag(hosts, ranks).select("host", "rank", "traffic_flag").collect()} == {("g", None, 1), ("h", 5, 1)}
+
+
+@pytest.mark.parametrize("text, whole", [
+    ('{"a": 1}', True), (' {"a": {}}\n', True), ('{"a": 1} xyz', False), ('{"a": 1}}', False), ('{"a": 1}, {"b": 2}', False),
+    ('{"a": 1} {"b": 2}', False), ("{'a': 1}", False), ("[1]", False), ("{a: 1}", False), ("", False), (None, False), ('{"a": ', False),
+])
+def test_one_whole_object(spark, text, whole):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(is_one_object("t")).first()[0] is whole

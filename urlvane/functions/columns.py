@@ -41,3 +41,13 @@ def per_distinct(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFra
     splits hot values. For costly columns over rows that repeat their keys.
     """
     return df.join(compute(df.select(key).distinct()), key, "left")
+
+
+def one_per_key(df: DataFrame, key: str, prefer: list[str]) -> DataFrame:
+    """One row per key, so that a join with it repeats no row: the largest by the `prefer` columns in order, then by the others.
+
+    Combined map-side; the join on the same key that follows needs no further shuffle of these rows.
+    """
+    others = [c for c in df.columns if c != key and c not in prefer]
+    best = df.groupBy(key).agg(F.max(F.struct(*prefer, *others)).alias("_best"))
+    return best.select(key, "_best.*").select(*df.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv
 from urlvane.functions import urls
-from urlvane.functions.columns import settle
+from urlvane.functions.columns import one_per_key, settle
 
 
 def _flag(condition: Column) -> Column:
@@ -114,8 +114,8 @@ def registration_date(text: Column) -> Column:
 
 
 def registration_features(df: DataFrame, registration: DataFrame, now: str, host: str = "host") -> DataFrame:
-    """Left join on host; `registration` holds one row per host with the two dates."""
-    known = registration.select(F.col("host").alias(host), "creation_date", "expiration_date")
+    """Left join on host; of several registrations of a host the one created last counts."""
+    known = one_per_key(registration.select(F.col("host").alias(host), "creation_date", "expiration_date"), host, ["creation_date"])
     flags = registration_flags(
         F.col("creation_date"), F.col("expiration_date"), F.lit(now).cast("timestamp")
     )
@@ -142,9 +142,10 @@ def page_features(df: DataFrame, html: str = "html", redirects: str | None = Non
 
 
 def page_join(df: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Page flags of each URL. Flags are computed before the join, so no body is shuffled."""
+    """Page flags of each URL, the highest where a URL has several pages. No body is shuffled: flags come before the join."""
     flags = page_flags(F.col("html"))
     small = pages.select(F.col("url").alias(url), *[v.alias(k) for k, v in flags.items()])
+    small = small.groupBy(url).agg(*[F.max(k).alias(k) for k in flags])
     return df.join(small, url, "left").fillna(1.0, list(flags))
 
 
@@ -158,7 +159,7 @@ def url_features_legacy(
 ) -> DataFrame:
     """The 15 legacy columns. Without tables the last seven are 1.0 (features off).
 
-    A host in `refused_hosts` (one row per host) also gets 1.0 in the last seven.
+    A host in `refused_hosts` also gets 1.0 in the last seven.
     """
     df = legacy_lexical(df, url)
     if registration is None or pages is None:
@@ -166,15 +167,15 @@ def url_features_legacy(
     df = registration_features(df, registration, now, "feature_host")
     df = page_join(df, pages, url)
     if refused_hosts is not None:
-        marks = refused_hosts.select(F.col("host").alias("feature_host"), F.lit(True).alias("_refused"))
+        marks = refused_hosts.select(F.col("host").alias("feature_host"), F.lit(True).alias("_refused")).distinct()
         df = df.join(marks, "feature_host", "left")
         df = df.withColumns({n: F.when(F.col("_refused"), 1.0).otherwise(F.col(n)) for n in fv.LEGACY_FEATURES[8:]}).drop("_refused")
     return df.withColumns({n: F.when(F.col("feature_error").isNull(), F.col(n)) for n in fv.LEGACY_FEATURES[8:]})
 
 
 def traffic_rank_flag(df: DataFrame, ranks: DataFrame, host: str = "host") -> DataFrame:
-    """1 for a host without a rank or with a rank below 100000, else 0."""
-    known = ranks.select(F.col("host").alias(host), F.col("rank"))
+    """1 for a host without a rank or with a rank below 100000, else 0; the best of several ranks counts."""
+    known = ranks.groupBy(F.col("host").alias(host)).agg(F.min("rank").alias("rank"))
     return df.join(known, host, "left").withColumn(
         "traffic_flag", F.when(F.col("rank").isNull() | (F.col("rank") < 100000), 1).otherwise(0)
     )

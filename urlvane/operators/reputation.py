@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane import fixed_values as fv, schemas
-from urlvane.functions.columns import STRICT_JSON, is_one_object
+from urlvane.functions.columns import STRICT_JSON, is_one_object, one_per_key
 from urlvane.functions import times
 from urlvane.functions.urls import IPV4, IPV6
 
@@ -32,7 +32,7 @@ def phishtank_columns(df: DataFrame) -> DataFrame:
 
 
 def reputation_phishtank(events: DataFrame, feed: DataFrame, url: str = "url") -> DataFrame:
-    """Exact-URL lookup; a URL absent from the feed is `not_found`.
+    """Exact-URL lookup; a URL absent from the feed is `not_found`. Of repeated feed rows a confirmed one counts first.
 
     Spark picks the join: a feed below the broadcast threshold is broadcast, a larger
     one is shuffled on the URL and AQE splits hot URLs.
@@ -41,6 +41,7 @@ def reputation_phishtank(events: DataFrame, feed: DataFrame, url: str = "url") -
         F.col("url").alias(url), "rep_status", "rep_malicious", "in_database", "verified", "valid",
         F.col("phish_id").cast("string").alias("phish_id"), F.col("phish_detail_page").alias("detail_url"),
     )
+    verdicts = one_per_key(verdicts, url, ["rep_malicious", "in_database", "verified", "valid"])
     joined = events.join(verdicts, url, "left")
     return joined.withColumns({
         "rep_status": F.coalesce("rep_status", F.lit("not_found")),
@@ -79,7 +80,9 @@ def webrisk_columns(df: DataFrame, now_s: Column, wanted: tuple[str, ...]) -> Da
 
 def reputation_webrisk(events: DataFrame, feed: DataFrame, now_s: Column,
                        wanted: tuple[str, ...] = ("SOCIAL_ENGINEERING",), url: str = "url") -> DataFrame:
+    """Exact-URL lookup of stored answers; of repeated ones the latest expiry text counts."""
     answers = feed.select(F.col("url").alias(url), "threat_types_raw", "expire_time", F.lit(True).alias("threat_present"))
+    answers = one_per_key(answers, url, ["expire_time"])
     return webrisk_columns(events.join(answers, url, "left"), now_s, wanted).drop("threat_types_raw", "threat_present")
 
 
