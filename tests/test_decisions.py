@@ -1,5 +1,6 @@
 """Validation, verdicts, decision table, alerts, lists, settings, labels."""
 
+import hashlib
 import json
 
 import pytest
@@ -236,3 +237,15 @@ def test_repeated_feed_rows_repeat_no_event(spark):
 def test_one_whole_object(spark, text, whole):
     frame = spark.createDataFrame([(text,)], "t string")
     assert frame.select(is_one_object("t")).first()[0] is whole
+
+
+def test_fingerprint_counts_repeats_and_not_order(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (None, "1:a"), (3, "b")]
+    mark = lambda r: tuple(metrics.dataset_fingerprint(spark.createDataFrame(r, "i int, t string").repartition(3)).first())
+    once = mark(rows)
+    assert once == mark(rows[::-1]) and once[0] == 4
+    different = {once, mark(rows + rows[:1]), mark(rows + rows[:1] * 2), mark(rows[:3]), mark([]), mark([(1, "a"), (2, None), (None, "1:b"), (3, "a")])}
+    assert len(different) == 6
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    found = metrics.file_digests(spark, str(tmp_path)).first()
+    assert (found.length, found.sha256) == (3, hashlib.sha256(b"abc").hexdigest())

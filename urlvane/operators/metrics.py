@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from urlvane.functions import times
 
@@ -94,8 +94,25 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label", bucke
 
 
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table: row count and xor of row hashes."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("fingerprint"))
+    """Row count and an order-free fingerprint of a table, one row.
+
+    Each row is hashed by SHA-256 over its fields (`-` for null, else length, colon, text); four lanes of 60 bits of the row
+    hashes are added up exactly, and the sums are hashed. Unlike xor, a row added twice changes the sums.
+    Sums are combined map-side, so each task sends one row. An empty table has sums of zero.
+    """
+    text = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+            for c in df.columns]
+    digest = df.select(F.sha2(F.concat(*text), 256).alias("d"))
+    lane = lambda i: F.conv(F.substring("d", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = digest.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(lane(i)), F.lit(0)).cast("decimal(38,0)").alias(f"l{i}") for i in range(4)])
+    joined = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"l{i}").cast("string") for i in range(4)])
+    return sums.select("rows", F.sha2(joined, 256).alias("fingerprint"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 and length of each file's bytes below a path; a file is read by one task and must fit a row (2 GB)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def log_health(tail: DataFrame, url: str = "url", event_type: str = "event_type", expected: str = "browser_navigation") -> DataFrame:
