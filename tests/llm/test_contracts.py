@@ -178,6 +178,20 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in plain_components(rows, 5).items() if c == i}
 
 
+def test_near_duplicates_odd_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(4, a, 1, 1), (7, a + " more", 1, 1), (7, b, 1, 1), (9, b, 1, 1), (None, b, 1, 1), (3, c, 1, 1), (3, c, 1, 1), (5, None, 1, 1), (5, "", 1, 1)]
+    schema = "doc_id long, text string, gone int, component int"
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.doc_id) == [
+        (3, 3, True), (3, 3, True), (4, 4, True), (5, 5, True), (5, 5, True), (7, 4, False), (7, 4, False), (9, 4, False)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    kept = near_duplicates.keep_one_of_each(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "gone", "component"]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 3, 4, 5, 5]
+    assert near_duplicates.keep_one_of_each(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (120, 2))] + [(5, 5), (7, 6)]

@@ -5,54 +5,61 @@ first and a group of the second is a table key. A x B keys thus cost only A + B
 about the square root of what as many independent keys would. Texts with equal shingle sets are one
 class; texts that share a key are candidates and are confirmed on their full sets.
 
-Within a key nobody is compared with everybody: members are compared with one chosen member, and only
-those that the confirmed links leave in different components are compared further, at last all of
-those with each other, so no link that matters to a component is lost.
+Pairs are taken from a key only if their sizes leave room for the similarity and if a sketch of one bit
+per minhash does not rule it out. Nobody is compared with everybody: in each round a text is compared
+with one member of one of its keys. Rounds go on while they find links; then those that share a key
+and are still in different components are compared, so no link that matters to a component is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from urlvane.llm.components import components
-from urlvane.llm.shared import SLICE_BYTES, blob, in_slices, mix, written
+from urlvane.llm.shared import blob, discard, fresh, in_slices, mix, written
 from urlvane.llm.words import Words, distinct_per_row
 
 #: Groups in each collection, and minhashes in a group. At a similarity of 0.8 a pair shares no key with a
-#: probability of about 2 * (1 - 0.8 ** 2) ** 10, or 0.00007.
-GROUPS = 10
-ROWS = 2
-#: Rounds that compare with one member per key before the rest is compared in full.
-STAR_ROUNDS = 3
+#: probability of about 2 * (1 - 0.8 ** 3) ** 14, or 0.00009.
+GROUPS = 14
+ROWS = 3
+#: Bits of the sketch, one from each minhash (those of the groups first).
+BITS = 128
 
 
 def _signatures(words: int):
     rng = np.random.default_rng(7)
-    odd = rng.integers(0, 1 << 63, 2 * GROUPS * ROWS, dtype=np.uint64)
+    salts = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    grouped = 2 * GROUPS * ROWS
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n = part.num_rows
         values, first = distinct_per_row(*Words(part.column("text")).shingles(words), n)
         sizes = np.diff(first)
         full = np.flatnonzero(sizes)
-        low = np.zeros((n, len(odd)), np.uint64)
+        low = np.zeros((n, BITS), np.uint64)
         sums = np.zeros((n, 2), np.uint64)
         if len(full):
-            for i, salt in enumerate(odd):
-                low[full, i] = np.minimum.reduceat(mix(values ^ salt), first[full])
+            for i in range(BITS):
+                low[full, i] = np.minimum.reduceat((values ^ salts[i]) * odd[i], first[full])
             sums[full, 0] = np.add.reduceat(mix(values), first[full])
             sums[full, 1] = np.add.reduceat(mix(values + np.uint64(77)), first[full])
-        groups = low.reshape(n, 2, GROUPS, ROWS)
+        groups = low[:, :grouped].reshape(n, 2, GROUPS, ROWS)
         keys = np.zeros((n, 2, GROUPS), np.uint64)
         for r in range(ROWS):
             keys = mix(keys + groups[..., r] + np.arange(2 * GROUPS, dtype=np.uint64).reshape(2, GROUPS))
+        bits = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
         lists = lambda side: pa.ListArray.from_arrays(
             pa.array(np.arange(n + 1, dtype=np.int32) * GROUPS), pa.array(np.ascontiguousarray(keys[:, side]).ravel().view(np.int64)))
+        longs = lambda column: pa.array(np.ascontiguousarray(column).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
-             lists(0), lists(1)], ["doc_id", "n_shingles", "set_a", "set_b", "left", "right"])
+            [part.column("doc_id"), pa.array(sizes), longs(sums[:, 0]), longs(sums[:, 1]), lists(0), lists(1), longs(bits[:, 0]), longs(bits[:, 1])],
+            ["doc_id", "n_shingles", "set_a", "set_b", "left", "right", "bits_a", "bits_b"])
 
     return in_slices(run)
 
@@ -60,9 +67,11 @@ def _signatures(words: int):
 def _sets(words: int):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         values, first = distinct_per_row(*Words(part.column("text")).shingles(words), part.num_rows)
+        parts = [values[a:b] for a, b in zip(first, first[1:])]
+        total = lambda salt: pa.array(np.array([mix(p + np.uint64(salt)).sum(dtype=np.uint64) for p in parts], np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([blob(values[a:b]) for a, b in zip(first, first[1:])], pa.binary())],
-            ["doc_id", "shingles"])
+            [part.column("doc_id"), total(0), total(77), pa.array([blob(p) for p in parts], pa.binary())],
+            ["head", "set_a", "set_b", "shingles"])
 
     return in_slices(run)
 
@@ -82,86 +91,112 @@ def _confirmed(percent: int):
     return run
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """The sizes leave room for the similarity, and the sketches differ in no more bits than it allows.
+
+    At the similarity itself a sketch differs in BITS * (1 - similarity) / 2 bits; the limit lies six standard deviations above.
+    """
+    differ = (1 - percent / 100) / 2
+    limit = math.ceil(BITS * differ + 6 * math.sqrt(BITS * differ * (1 - differ)))
+    value = lambda side, name: F.col(f"{side}.{name}")
+    sizes = 100 * F.least(value(a, "n_shingles"), value(b, "n_shingles")) >= percent * F.greatest(value(a, "n_shingles"), value(b, "n_shingles"))
+    return sizes & (sum(F.bit_count(value(a, c).bitwiseXOR(value(b, c))) for c in ("bits_a", "bits_b")) <= limit)
+
+
+def _members(heads: DataFrame) -> DataFrame:
+    """node, n_shingles, bits and key of texts that share the key; only groups that two texts have are paired to keys."""
+    groups = heads.select("node", F.explode(F.concat("left", "right")).alias("group"))
+    common = groups.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("group")
+    held = groups.join(common, "group", "left_semi").groupBy("node").agg(F.collect_set("group").alias("held"))
+    both = heads.join(held, "node")
+    pairs = F.flatten(F.transform(F.array_intersect("left", "held"), lambda x: F.transform(
+        F.array_intersect("right", "held"), lambda y: F.xxhash64(x, y))))
+    keys = written(both.select("node", "n_shingles", "bits_a", "bits_b", F.explode(pairs).alias("key")).dropDuplicates(["node", "key"]), "keys")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    members = written(keys.join(shared, "key", "left_semi"), "members")
+    discard(keys)
+    return members
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Return doc_id, n_shingles, component_id and kept for every row of doc_id (whole number) and text.
 
     Texts are linked if 100 * intersection >= percent * union of their sets of word shingles (A-Z lowered; a text with
-    fewer words is one shingle). A component is named by its smallest id, and that document is kept. Texts without
-    words are linked with nothing. Rows with equal ids count as one document for the components. A null id
-    stands alone. An empty table gives no rows.
+    fewer words is one shingle). A component is named by its smallest id, and that document is kept. Null and empty texts and
+    those without words are linked with nothing. Rows with equal ids are one document: the texts of all of them link it,
+    but a row without words stands alone. A row with a null id stands alone, has no component and is kept. An empty table
+    gives no rows. Other columns of docs take no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(texts.mapInArrow(
-        _signatures(words), "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"), "signatures")
+        _signatures(words), "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>, bits_a long, bits_b long"),
+        "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy(*sets).agg(F.min("doc_id").alias("head")), "classes")
-    heads = full.join(classes.withColumnRenamed("head", "doc_id"), ["doc_id", *sets], "left_semi")
-    key = F.explode(F.flatten(F.transform("left", lambda x: F.transform(F.col("right"), lambda y: F.xxhash64(x, y)))))
-    keys = heads.select("doc_id", "n_shingles", key.alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    members = written(keys.join(shared.select("key"), "key").distinct(), "members")
-
-    def sized(pairs):
-        """Only sizes that leave room for the similarity, the smaller id first, each pair once."""
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("da") != F.col("db"))
-        return pairs.filter(fits).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
-
-    candidate = members.select("doc_id").distinct()
-    shingles = written(texts.join(candidate, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary")
-                       .dropDuplicates(["doc_id"]), "shingles")
+    # texts with equal sets are one node
+    classes = written(full.groupBy(*sets).agg(F.min("doc_id").alias("head")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = full.withColumnRenamed("doc_id", "head").join(classes, ["head", *sets]).dropDuplicates(["node"])
+    members = _members(written(heads.select("node", "n_shingles", "bits_a", "bits_b", "left", "right"), "heads"))
+    candidates = classes.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = texts.withColumnRenamed("doc_id", "head").join(candidates.select("head").distinct(), "head", "left_semi")
+    shingles = wanted.withColumnRenamed("head", "doc_id").mapInArrow(_sets(words), "head long, set_a long, set_b long, shingles binary")
+    shingles = written(shingles.join(candidates.drop("n_shingles"), ["head", "set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"]), "shingles")
 
     def confirmed(pairs):
-        left = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long")
 
-    links, tested, member = None, None, F.struct("doc_id", "n_shingles")
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            open_rows = members.withColumn("component", F.col("doc_id"))
-        else:
-            found = written(components(links), "components")
-            named = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id"))
-            mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-            open_rows = written(named.join(mixed.select("key"), "key", "left_semi"), "open")
-        if turn < STAR_ROUNDS:
-            # one member per key, another each round
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0), "doc_id", "n_shingles", "component")
-            hub = open_rows.groupBy("key").agg(F.min(order).alias("hub"))
-            pairs = open_rows.join(hub, "key").filter(F.col("hub.component") != F.col("component")).select(
-                F.col("hub.doc_id").alias("da"), F.col("hub.n_shingles").alias("na"), F.col("doc_id").alias("db"), F.col("n_shingles").alias("nb"))
+    # an id with several texts ties their nodes together
+    ids = full.select("doc_id", *sets).join(classes, sets).select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("doc_id", "a")
+    links = written(ids.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a < b").distinct(), "links")
+    found = components(links)
+    turn, stars, scratch = 0, True, []
+    while True:
+        named = members.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        still = written(named.join(mixed.select("key"), "key", "left_semi"), "open")
+        own = still.select("key", F.struct("node", "n_shingles", "bits_a", "bits_b", "component").alias("own"))
+        if stars:
+            # one member per key, another each round, and one such member for each text
+            order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
+            hub = still.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n_shingles", "bits_a", "bits_b", "component")).alias("other"))
+            pairs = own.join(hub, "key").filter((F.col("own.component") != F.col("other.component")) & _may_link("own", "other", percent))
+            pairs = pairs.groupBy(F.col("own.node").alias("node")).agg(F.min(F.struct("other.order", "other.node")).alias("other"))
+            pairs = pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
         else:
-            # what is still apart, in full: each member with those of other components
-            other = open_rows.select("key", F.col("component").alias("other"), F.col("doc_id").alias("db"), F.col("n_shingles").alias("nb"))
-            pairs = open_rows.join(other, "key").filter("component < other").select(
-                F.col("doc_id").alias("da"), F.col("n_shingles").alias("na"), "db", "nb")
-        pairs = sized(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0 or turn == STAR_ROUNDS:
-                break
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
+            # what is still apart: each member with those of other components
+            other = own.withColumnRenamed("own", "other")
+            pairs = own.join(other, (own["key"] == other["key"]) & (F.col("own.component") < F.col("other.component")) & _may_link("own", "other", percent))
+            pairs = pairs.select(F.least("own.node", "other.node").alias("a"), F.greatest("own.node", "other.node").alias("b")).distinct()
         new = written(confirmed(pairs), "links")
-        links = new if links is None else links.union(new)
-    result = rows.join(classes, sets, "left").withColumn("head", F.coalesce("head", "doc_id"))
-    if links is not None:
-        result = result.join(components(links).withColumnRenamed("id", "head"), "head", "left")
-    else:
-        result = result.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "head")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"),
+        none = new.isEmpty()
+        if not none:
+            scratch.append(links)
+            links = written(links.union(new), "links")
+            found = components(links)
+        discard(still, new)
+        if not stars:
+            break
+        stars, turn = not none, turn + 1
+    discard(members, shingles, *scratch)
+    tied = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = tied.groupBy("component").agg(F.min("head").alias("component_id"))
+    named = tied.join(least, "component").select(*sets, "component_id")
+    # a null size joins with no class
+    result = rows.withColumn("n", F.col("n_shingles")).withColumn("n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("n"))).join(named, sets, "left")
+    component = F.coalesce("component_id", "doc_id")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Drop all but the smallest id of each group of near-duplicates; columns stay as they are.
+    """Drop all but the smallest id of each group of near-duplicates; columns stay as they are, whatever their names.
 
-    Of rows with equal ids all stay or go together.
+    Of rows with equal ids all stay or go together. Rows with a null id stay. An empty table stays empty.
     """
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    found = near_duplicates(docs)
+    lost = found.groupBy(F.col("doc_id").alias(gone)).agg(F.min("kept").alias("kept")).filter("NOT kept").select(gone)
+    return docs.join(lost, docs["doc_id"] == F.col(gone), "left_anti")

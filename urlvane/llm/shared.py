@@ -47,6 +47,14 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold a row falls in (NULL ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
