@@ -7,8 +7,8 @@ class; texts that share a key are candidates and are confirmed on their full set
 
 Pairs are taken from a key only if their sizes leave room for the similarity and if a sketch of one bit
 per minhash does not rule it out. Nobody is compared with everybody: in each round a text is compared
-with one member of one of its keys. Rounds go on while they find links; then those that share a key
-and are still in different components are compared, so no link that matters to a component is lost.
+with single members of a few of its keys. Rounds go on while they find many links; then all that share a
+key and are still in different components are compared, so no link that matters to a component is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ GROUPS = 14
 ROWS = 3
 #: Bits of the sketch, one from each minhash (those of the groups first).
 BITS = 128
+#: Members that a text is compared with in a round, at most.
+HUBS = 4
+#: A round that links less than this share of the texts still open is the last but the full one.
+PROGRESS = 0.05
 
 
 def _signatures(words: int):
@@ -159,28 +163,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         still = written(named.join(mixed.select("key"), "key", "left_semi"), "open")
         own = still.select("key", F.struct("node", "n_shingles", "bits_a", "bits_b", "component").alias("own"))
         if stars:
-            # one member per key, another each round, and one such member for each text
+            # one member per key, another each round, and a few such members for each text
             order = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
             hub = still.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n_shingles", "bits_a", "bits_b", "component")).alias("other"))
             pairs = own.join(hub, "key").filter((F.col("own.component") != F.col("other.component")) & _may_link("own", "other", percent))
-            pairs = pairs.groupBy(F.col("own.node").alias("node")).agg(F.min(F.struct("other.order", "other.node")).alias("other"))
+            pairs = pairs.groupBy(F.col("own.node").alias("node"), F.pmod(F.xxhash64("other.node"), F.lit(HUBS))).agg(F.min(F.struct("other.order", "other.node")).alias("other"))
             pairs = pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
         else:
             # what is still apart: each member with those of other components
             other = own.withColumnRenamed("own", "other")
             pairs = own.join(other, (own["key"] == other["key"]) & (F.col("own.component") < F.col("other.component")) & _may_link("own", "other", percent))
             pairs = pairs.select(F.least("own.node", "other.node").alias("a"), F.greatest("own.node", "other.node").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
         new = written(confirmed(pairs), "links")
-        none = new.isEmpty()
-        if not none:
+        count = new.count()
+        if count:
             scratch.append(links)
             links = written(links.union(new), "links")
             found = components(links)
-        discard(still, new)
         if not stars:
             break
-        stars, turn = not none, turn + 1
-    discard(members, shingles, *scratch)
+        stars, turn = count >= PROGRESS * still.select("node").distinct().count() and count > 0, turn + 1
+        discard(still, pairs, new)
+    discard(members, shingles, still, pairs, new, *scratch)
     tied = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tied.groupBy("component").agg(F.min("head").alias("component_id"))
     named = tied.join(least, "component").select(*sets, "component_id")
