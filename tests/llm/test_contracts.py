@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from urlvane.llm import byte_bpe, hmm, near_duplicates, nearest, suffix_dedup, token_counts
+from urlvane.llm import byte_bpe, decontaminate, hmm, line_templates, near_duplicates, nearest, suffix_dedup, token_counts
 from urlvane.llm import queries as registered
 from urlvane.llm.components import components
 
@@ -192,6 +192,31 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates.keep_one_of_each(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_line_templates_odd_rows(spark):
+    lines = [f"request {i} served by node n{i} today" for i in range(7)]
+    rows = [(i, f"start {'xyz'[i % 3] * (i + 1)}\n{line}\nend {'pqr'[i % 3] * (i + 1)}", "a", "b", "c") for i, line in enumerate(lines)]
+    schema = "doc_id long, text string, _gone string, _lines string, lines string"
+    for extra in ([], [(None, "\n".join(lines), "a", "b", "c")], [(50, None, "a", "b", "c"), (51, "", "a", "b", "c")]):
+        got = line_templates.drop_recurring(spark.createDataFrame(rows + extra, schema))
+        assert got.columns == ["doc_id", "_gone", "_lines", "lines", "text", "n_lines", "n_dropped"]
+        got = got.collect()
+        assert len(got) == len(rows) + len(extra) and {(r._gone, r._lines, r.lines) for r in got} == {("a", "b", "c")}
+        assert [(r.n_lines, r.n_dropped) for r in got if r.doc_id is not None and r.doc_id < 7] == [(3, 1)] * 7
+        assert all(r.n_dropped == 0 for r in got if r.doc_id is None or r.doc_id >= 50)
+    assert line_templates.drop_recurring(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_keep_clean(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "before " + item + " after", "l"), (2, item.replace("w7", "other"), "l"), (3, "plain words only", "l"), (None, item, "l"), (4, None, "l"), (5, "", "l")]
+    schema = "doc_id long, text string, leak string"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.keep_clean(spark.createDataFrame(rows, schema), benchmark)
+    assert kept.columns == ["doc_id", "text", "leak"]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 5]
+    assert decontaminate.keep_clean(spark.createDataFrame([], schema), benchmark).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (120, 2))] + [(5, 5), (7, 6)]

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from urlvane.llm.shared import fresh
+
 #: Word positions that a seed looks at. The contiguous one also serves items too short for the others.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
 #: Items of fewer words are not searched for.
@@ -89,6 +91,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Drop documents that hold a benchmark item; columns stay as they are."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_leak"), "left_anti")
+    """Drop documents that hold a benchmark item; columns stay as they are, whatever their names.
+
+    Of rows with equal ids all stay or go together; rows with a null id stay. An empty table stays empty.
+    """
+    leak = fresh(docs, "leak")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(found, docs["doc_id"] == F.col(leak), "left_anti")

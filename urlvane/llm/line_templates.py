@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from urlvane.llm.shared import discard, written
+from urlvane.llm.shared import discard, fresh, written
 
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
@@ -44,13 +44,18 @@ def _parsed(lines: DataFrame, keep: list[str]) -> DataFrame:
                        F.xxhash64(F.size("tokens"), "tokens").alias("line"))
 
 
+def _row_mark() -> Column:
+    """Names a row by its id and text, also where the id is null or repeated. Rows that share it by chance do no harm."""
+    return F.xxhash64("doc_id", "text").alias("mark")
+
+
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """One row per line that has a token: doc_id, line_no, leaf, line (hash of its tokens), place (hash of its neighbours)."""
-    arrays = docs.select("doc_id", _lines("text").alias("lines")).filter("lines IS NOT NULL")
-    arrays = arrays.select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("marks"))
-    rows = arrays.select("doc_id", "marks", F.posexplode("lines").alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
+    """One row per line that has a token: doc_id, mark (of its row), line_no, leaf, line (hash of its tokens), place (hash of its neighbours)."""
+    arrays = docs.select("doc_id", _row_mark(), _lines("text").alias("lines")).filter("lines IS NOT NULL")
+    arrays = arrays.select("doc_id", "mark", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("marks"))
+    rows = arrays.select("doc_id", "mark", "marks", F.posexplode("lines").alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
     place = F.xxhash64(F.get("marks", F.col("line_no") - 1), F.lit("|"), F.get("marks", F.col("line_no") + 1))
-    return _parsed(rows.select("doc_id", "line_no", "text", place.alias("place")), ["doc_id", "line_no", "place"]).drop("tokens")
+    return _parsed(rows.select("doc_id", "mark", "line_no", "text", place.alias("place")), ["doc_id", "mark", "line_no", "place"]).drop("tokens")
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -58,13 +63,13 @@ def templates(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataFr
 
     Also the scratch tables that may go once the rows have been read.
     """
-    heads = lines.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    heads = lines.groupBy("leaf", "line").agg(F.min(F.struct("mark", "line_no")).alias("at"))
     heads = written(heads.select("leaf", "line", "at.*"), "line-heads")
     shared = heads.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    wanted = heads.join(shared, "leaf", "left_semi").select("doc_id", "line_no", F.col("line").alias("wanted"))
-    texts = docs.select("doc_id", F.posexplode(_lines("text")).alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
+    wanted = heads.join(shared, "leaf", "left_semi").select("mark", "line_no", F.col("line").alias("wanted"))
+    texts = docs.select(_row_mark(), F.posexplode(_lines("text")).alias("line_no", "text")).filter(F.col("text").rlike(r"\S"))
     # text moves as it is, and only wanted lines are cut into tokens again
-    found = _parsed(texts.join(wanted, ["doc_id", "line_no"]), ["wanted"]).filter(F.col("line") == F.col("wanted"))
+    found = _parsed(texts.join(wanted, ["mark", "line_no"]), ["wanted"]).filter(F.col("line") == F.col("wanted"))
     tokens = found.dropDuplicates(["leaf", "line"]).select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
     tokens = written(tokens, "line-tokens")
     seen = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf", "at", "token")
@@ -95,14 +100,16 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, same_place: float
 
     Line feeds part lines; lines of white space are never dropped. A null text stays null with 0 lines. A document
     may be left with an empty text. Rows with equal ids count as one document, and lose lines by their numbers together;
-    a null id loses none.
+    a null id loses none, but its lines count as those of one document. An empty table gives no rows. Other columns may have
+    any names; n_lines and n_dropped are replaced.
     """
+    key, lost, all_lines = (fresh(docs, name) for name in ("id", "gone", "lines"))
     taken = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    gone = recurring_lines(docs, min_docs, same_place).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = recurring_lines(docs, min_docs, same_place).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(lost))
     lines = F.coalesce(F.size(_lines("text")), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines("text")) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    rows = docs.join(gone, docs["doc_id"] == F.col("_id"), "left").withColumn("_lines", _lines("text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines("text")) - 1), lost)
+    text = F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(all_lines), i)), "\n"))
+    rows = docs.join(gone, docs["doc_id"] == F.col(key), "left").withColumn(all_lines, _lines("text"))
     return rows.select(*taken, text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_lines"),
-                       F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).alias("n_dropped"))
+                       F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(lost), F.lit(0))).alias("n_dropped"))
