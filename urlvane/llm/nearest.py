@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from urlvane.llm.shared import blob, written
+from urlvane.llm.shared import blob, discard, written
 
 #: Vectors that the tree is fitted on, the first by a hash of the id.
 FIT_ROWS = 20_000
@@ -27,6 +27,8 @@ CALIBRATION = 64
 TARGET_RECALL = 0.97
 BLOCK_ROWS = 2048
 QUERY_BLOCK = 64
+#: Found rows that a task holds while it looks through its blocks.
+HELD_ROWS = 400_000
 
 
 @dataclass
@@ -124,10 +126,39 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, id
         yield np.full(len(order), query_ids[at]), ids[order], far[order]
 
 
-def _found(parts) -> pa.RecordBatch:
-    parts = list(parts)
-    join = lambda i, kind: pa.array(np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.zeros(0, kind))
-    return pa.RecordBatch.from_arrays([join(0, np.int64), join(1, np.int64), join(2, float)], ["query_id", "vec_id", "score"])
+class Best:
+    """The k nearest rows found so far of each query that a task meets: query id, id, distance and more columns.
+
+    Rows are cut to the k nearest of each query when there are HELD_ROWS; what is left is handed on, to be
+    merged later, if it is more than half of that.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def cut(self) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        query = columns[0][order]
+        begins = np.flatnonzero(np.diff(query, prepend=query[0] - 1))
+        rank = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+        order = order[rank < self.k]
+        self.parts, self.size = [[c[order] for c in columns]], len(order)
+        return self.parts[0]
+
+    def full(self) -> bool:
+        if self.size >= HELD_ROWS:
+            self.cut()
+        return self.size > HELD_ROWS // 2
+
+    def taken(self, names: list[str]) -> pa.RecordBatch:
+        columns = self.cut()
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
@@ -164,22 +195,44 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     tree, leaves = build_tree(points, LEAF_ROWS)
     shared = spark.sparkContext.broadcast(tree)
 
-    def indexed(batches):
+    def routed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                where = route(shared.value, _matrix(batch.column("embedding"), size))
+                yield pa.RecordBatch.from_arrays([pa.array(where), *batch.columns], ["leaf", *batch.schema.names])
+
+    def blocks(batches):
+        """Rows in the order of leaves, in blocks that end with their leaf or with BLOCK_ROWS rows."""
+        kind = pa.schema([("leaf", pa.int64()), ("ids", pa.binary()), ("points", pa.binary())])
+        waiting, leaf, held = [], None, 0
+
+        def packed():
+            ids, points = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            for lo in range(0, len(ids), BLOCK_ROWS):
+                yield pa.RecordBatch.from_pydict(
+                    {"leaf": [leaf], "ids": [blob(ids[lo:lo + BLOCK_ROWS])], "points": [blob(points[lo:lo + BLOCK_ROWS])]}, schema=kind)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points, ids = _matrix(batch.column("embedding"), size), batch.column("vec_id").to_numpy()
-            where = route(shared.value, points)
-            order = np.argsort(where, kind="stable")
-            cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
-            for first, last in zip(cuts, [*cuts[1:], len(order)]):
-                for lo in range(first, last, BLOCK_ROWS):
-                    own = order[lo:min(lo + BLOCK_ROWS, last)]
-                    yield pa.RecordBatch.from_pydict(
-                        {"leaf": [int(where[own[0]])], "ids": [blob(ids[own])], "points": [blob(points[own])]},
-                        schema=pa.schema([("leaf", pa.int64()), ("ids", pa.binary()), ("points", pa.binary())]))
-
-    index = written(kept.mapInArrow(indexed, "leaf long, ids binary, points binary"), "leaf-blocks")
+            where, ids = batch.column("leaf").to_numpy(), batch.column("vec_id").to_numpy()
+            points = _matrix(batch.column("embedding"), size)
+            cuts = np.flatnonzero(np.diff(where, prepend=where[0] - 1))
+            for first, last in zip(cuts, [*cuts[1:], len(where)]):
+                if waiting and (where[first] != leaf or held >= BLOCK_ROWS):
+                    yield from packed()
+                    waiting, held = [], 0
+                leaf = int(where[first])
+                waiting.append((ids[first:last], points[first:last]))
+                held += last - first
+        if waiting:
+            yield from packed()
+
+    # ranges are cut by row count, within a leaf too, so that a leaf with many rows is many tasks' work
+    leaves_of = written(kept.select("vec_id", "embedding").mapInArrow(routed, "leaf long, vec_id long, embedding array<double>"), "leaves")
+    in_order = leaves_of.repartitionByRange("leaf", "vec_id").sortWithinPartitions("leaf", "vec_id")
+    index = written(in_order.mapInArrow(blocks, "leaf long, ids binary, points binary"), "leaf-blocks")
+    discard(leaves_of)
 
     # calibration: where the true neighbours of some vectors lie in their own order of leaves
     trial = sample.head(CALIBRATION)
@@ -190,11 +243,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     place = dict(zip(trial_ids.tolist(), orders))
 
     def brute(batches):
+        best = Best(k)
+        names = ["query_id", "vec_id", "score", "visit"]
         for batch in batches:
             for leaf, ids, block in zip(*[batch.column(c).to_pylist() for c in ("leaf", "ids", "points")]):
-                near = _found(_nearest(trial_points, trial_ids, np.frombuffer(block).reshape(-1, size), np.frombuffer(ids, np.int64), k))
-                at = [int(place[q][leaf]) for q in near.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*near.columns, pa.array(at, pa.int64())], ["query_id", "vec_id", "score", "visit"])
+                for q, i, d in _nearest(trial_points, trial_ids, np.frombuffer(block).reshape(-1, size), np.frombuffer(ids, np.int64), k):
+                    if len(q):
+                        best.add(q, i, d, np.full(len(q), place[int(q[0])][leaf]))
+                if best.full():
+                    yield best.taken(names)
+        if best.size:
+            yield best.taken(names)
 
     near = Window.partitionBy("query_id").orderBy("score", "vec_id")
     true = index.mapInArrow(brute, schema + ", visit long").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k)
@@ -221,10 +280,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
             yield pack(leaf, own)
 
     def compared(batches):
+        best = Best(k)
+        names = ["query_id", "vec_id", "score"]
         for batch in batches:
             for q_ids, q, ids, block in zip(*[batch.column(c).to_pylist() for c in ("query_ids", "queries", "ids", "points")]):
-                yield _found(_nearest(np.frombuffer(q).reshape(-1, size), np.frombuffer(q_ids, np.int64),
-                                      np.frombuffer(block).reshape(-1, size), np.frombuffer(ids, np.int64), k))
+                for found in _nearest(np.frombuffer(q).reshape(-1, size), np.frombuffer(q_ids, np.int64),
+                                      np.frombuffer(block).reshape(-1, size), np.frombuffer(ids, np.int64), k):
+                    best.add(*found)
+                if best.full():
+                    yield best.taken(names)
+        if best.size:
+            yield best.taken(names)
 
     pairs = queries.mapInArrow(probes, "leaf long, query_ids binary, queries binary").join(index, "leaf")
     found = pairs.select("query_ids", "queries", "ids", "points").mapInArrow(compared, schema)
