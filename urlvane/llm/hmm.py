@@ -26,8 +26,13 @@ TOP_WORDS = 4096
 ENDINGS = 4096
 ENDING_BYTES = 3
 CHUNK_TOKENS = 1_000_000
-#: Training sequences are pieces of at most so many tokens; scoring knows no such limit.
-PIECE = 256
+#: Training walks pieces of at most so many tokens side by side; what a piece does to the state vector
+#: is a product of matrices, by which the vectors are carried over the cuts, so counts are those of whole texts.
+PIECE = 512
+#: Tokens whose vectors are held at once.
+STEP_TOKENS = 1 << 17
+#: Products are scaled after so many tokens, long before they leave the range of doubles.
+SCALE_EVERY = 8
 #: First values come from texts of a bounded sample; then all training texts are passed.
 FIRST_ROWS = 3000
 FIRST_PASSES = 15
@@ -109,17 +114,48 @@ class Classes:
         return np.where(self.top[at] == words, at, TOP_WORDS + endings.astype(np.int64))
 
 
-def _pieces(tokens: np.ndarray, sizes: np.ndarray, keep: np.ndarray, longest: int | None):
-    """Starts and lengths of sequences, longest first."""
-    firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1][keep]
-    sizes = sizes[keep]
-    if longest:
-        n = -(-sizes // longest)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        firsts = np.repeat(firsts, n) + within * longest
-        sizes = np.minimum(np.repeat(sizes, n) - within * longest, longest)
-    order = np.argsort(-sizes, kind="stable")
-    return firsts[order], sizes[order], order
+def _live(lengths: np.ndarray) -> np.ndarray:
+    """How many of the sequences, longest first, have a token at each place."""
+    return np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+
+
+def _steps(lengths: np.ndarray):
+    """Bounds of runs of sequences of some STEP_TOKENS tokens together."""
+    ends, lo = np.cumsum(lengths), 0
+    while lo < len(lengths):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_TOKENS, side="right"))
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def _carried(model: Hmm, classes: np.ndarray, first: np.ndarray, length: np.ndarray, within: np.ndarray, last: np.ndarray):
+    """For each piece, in the order of the texts: the scaled state vector before its first token (the start for
+    a text's first piece) and the backward vector after its last one."""
+    states = len(model.start)
+    into, out = np.tile(model.start, (len(first), 1)), np.ones((len(first), states))
+    cut = np.flatnonzero((within > 0) | ~last)
+    cut = cut[np.argsort(-length[cut], kind="stable")]
+    product = np.zeros((len(first), states, states)) if len(cut) else None
+    for lo, hi in _steps(length[cut]):
+        own = cut[lo:hi]
+        live = _live(length[own])
+        p = np.where((within[own] == 0)[:, None, None], np.eye(states), model.move)
+        for t, n in enumerate(live):
+            e = model.emit[classes[first[own[:n]] + t]][:, None, :]
+            p[:n] = ((p[:n].reshape(-1, states) @ model.move).reshape(n, states, states) if t else p[:n]) * e
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                p[:n] /= p[:n].sum(axis=(1, 2))[:, None, None]
+        product[own] = p / p.sum(axis=(1, 2))[:, None, None]
+    depth = np.argsort(within[cut], kind="stable")
+    levels = np.split(cut[depth], np.flatnonzero(np.diff(within[cut][depth])) + 1) if len(cut) else []
+    for own in levels[1:]:
+        v = (into[own - 1][:, None, :] @ product[own - 1])[:, 0]
+        into[own] = v / v.sum(axis=1)[:, None]
+    for own in reversed(levels[1:]):
+        v = (product[own] @ out[own][:, :, None])[:, :, 0]
+        out[own - 1] = v / v.sum(axis=1)[:, None]
+    return into, out
 
 
 def expected(model: Hmm, classes: np.ndarray, sizes: np.ndarray, keep: np.ndarray):
@@ -127,35 +163,41 @@ def expected(model: Hmm, classes: np.ndarray, sizes: np.ndarray, keep: np.ndarra
     states = len(model.start)
     start, move, like = np.zeros(states), np.zeros((states, states)), 0.0
     emit = np.zeros((len(model.emit), states))
-    firsts, lengths, _ = _pieces(classes, sizes, keep, PIECE)
-    for lo in range(0, len(firsts), 2000):
-        first, length = firsts[lo:lo + 2000], lengths[lo:lo + 2000]
-        longest = int(length[0])
-        live = np.searchsorted(-length, -np.arange(longest), side="left")  # sequences longer than t
+    pieces = -(-sizes[keep] // PIECE)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    last = within == np.repeat(pieces, pieces) - 1
+    first = np.repeat((np.cumsum(sizes) - sizes)[keep], pieces) + within * PIECE
+    length = np.minimum(np.repeat(sizes[keep], pieces) - within * PIECE, PIECE)
+    into, out = _carried(model, classes, first, length, within, last)
+    order = np.argsort(-length, kind="stable")
+    for lo, hi in _steps(length[order]):
+        own = order[lo:hi]
+        live, continues = _live(length[own]), within[own] > 0
         alpha, seen, scales = [], [], []
-        for t in range(longest):
-            n = live[t]
-            obs = classes[first[:n] + t]
+        for t, n in enumerate(live):
+            obs = classes[first[own[:n]] + t]
             e = model.emit[obs]
-            a = (alpha[-1][:n] @ model.move if t else model.start[None, :]) * e
+            a = (alpha[-1][:n] @ model.move if t else np.where(continues[:, None], into[own] @ model.move, into[own])) * e
             s = a.sum(axis=1)
             a = a / s[:, None]
             like += np.log10(s).sum()
             alpha.append(a)
             seen.append((obs, e))
             scales.append(s)
-        beta = np.ones((live[-1], states))
-        gammas = [None] * longest
-        for t in range(longest - 1, -1, -1):
-            if t < longest - 1:
-                n = live[t + 1]
-                weighted = seen[t + 1][1] * beta[:n] / scales[t + 1][:, None]
+        gammas, n = [None] * len(live), 0
+        for t in range(len(live) - 1, -1, -1):
+            # pieces that end here begin with the vector that is carried back to them
+            ending = out[own[n:live[t]]]
+            beta = np.empty((live[t], states))
+            beta[n:] = ending / (ending * alpha[t][n:]).sum(axis=1)[:, None]
+            if n:
                 move += model.move * (alpha[t][:n].T @ weighted)
-                before = np.ones((live[t], states))
-                before[:n] = weighted @ model.move.T
-                beta = before
+                beta[:n] = weighted @ model.move.T
+            n = live[t]
+            weighted = seen[t][1] * beta / scales[t][:, None]
             gammas[t] = alpha[t] * beta
-        start += gammas[0].sum(axis=0)
+        move += model.move * (into[own[continues]].T @ weighted[continues])
+        start += gammas[0][~continues].sum(axis=0)
         obs, gamma = np.concatenate([o for o, _ in seen]), np.concatenate(gammas)
         for k in range(states):
             emit[:, k] += np.bincount(obs, gamma[:, k], minlength=len(emit))
@@ -164,15 +206,12 @@ def expected(model: Hmm, classes: np.ndarray, sizes: np.ndarray, keep: np.ndarra
 
 def forward(model: Hmm, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each text's classes, by the scaled forward recursion over its whole length."""
-    firsts, lengths, order = _pieces(classes, sizes, np.ones(len(sizes), bool), None)
     total = np.zeros(len(sizes))
     if not len(sizes):
         return total
-    longest = int(lengths[0])
-    live = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    a = None
-    for t in range(longest):
-        n = live[t]
+    order = np.argsort(-sizes, kind="stable")
+    firsts, a = (np.cumsum(sizes) - sizes)[order], None
+    for t, n in enumerate(_live(sizes[order])):
         a = (a[:n] @ model.move if t else model.start[None, :]) * model.emit[classes[firsts[:n] + t]]
         s = a.sum(axis=1)
         a = a / s[:, None]
