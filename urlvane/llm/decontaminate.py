@@ -10,17 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from urlvane.llm.shared import fresh
+from urlvane.llm.shared import fresh, written
 
-#: Word positions that a seed looks at. The contiguous one also serves items too short for the others.
+#: Word positions that a seed looks at: items of eight words or more, in which the stated part agrees, share one of the
+#: first three with the text; items of five to seven words one of the next four; shorter ones must agree in all words.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
-#: Items of fewer words are not searched for.
-MIN_WORDS = 5
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+WHOLE_MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+ALL_MASKS = MASKS + SHORT_MASKS + WHOLE_MASKS
 #: Compared words: the whole item, or a stretch of so many of it.
 STRETCH = 13
 SIMILARITY = 0.8
-#: Seeds are broadcast up to this number (some 40 MB); beyond it the seeds are shuffled.
-BROADCAST_SEEDS = 1_000_000
+#: Seeds that are broadcast at once (rows of four numbers, some 50 MB); more of them are taken in blocks.
+SEEDS_AT_ONCE = 1_000_000
 
 
 def _words(text: str) -> Column:
@@ -31,49 +33,58 @@ def _hashed(text: str) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str) -> Column:
-    """The seeds at one position, NULL where a mask does not fit."""
+def _seeded(df: DataFrame, keep: list[str], numbers: list[int], fits=lambda number: F.lit(True)) -> DataFrame:
+    """One row per position and mask that lies in the words, as _w, _at and _seed; fits names masks by the words' number."""
+    places = df.filter(F.size("words") > 0).select(
+        *keep, F.col("words").alias("_w"), F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("_at"))
     seed = lambda number, mask: F.when(
-        F.col(at) + mask[-1] < F.size(words),
-        F.xxhash64(F.lit(number), *[F.get(F.col(words), F.col(at) + i) for i in mask]))
-    return F.array(*[seed(number, mask) for number, mask in enumerate(MASKS)])
+        fits(number) & (F.col("_at") + mask[-1] < F.size("_w")),
+        F.xxhash64(F.lit(number), *[F.get(F.col("_w"), F.col("_at") + i) for i in mask]))
+    seeds = F.array(*[seed(n, ALL_MASKS[n]) for n in numbers])
+    return places.select(*keep, "_w", "_at", F.posexplode(seeds).alias("_mask", "_seed")).filter("_seed IS NOT NULL")
 
 
-def _seeded(df: DataFrame, keep: list[str], words: str = "words") -> DataFrame:
-    """One row per position and mask."""
-    places = df.filter(F.size(words) >= MIN_WORDS).select(
-        *keep, F.col(words).alias("_w"), F.explode(F.sequence(F.lit(0), F.size(words) - MIN_WORDS)).alias("_at"))
-    return places.select(*keep, "_w", "_at", F.explode(_seeds("_w", "_at")).alias("_seed")).filter("_seed IS NOT NULL")
+def _for_items(number: int) -> Column:
+    """Whether items of these words use the mask."""
+    size = F.size("_w")
+    if number < len(MASKS):
+        return size >= 8
+    return size.between(5, 7) if number < len(MASKS + SHORT_MASKS) else size == len(ALL_MASKS[number])
+
+
+def _hits(texts: DataFrame, seeds: DataFrame, masks: list[int], blocks: int) -> DataFrame:
+    """Alignments of texts and items: the text's words from where the item would begin, `skip` item words left of the text."""
+    found = None
+    for block in range(blocks):
+        some = seeds.filter(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds
+        hits = _seeded(texts, ["doc_id", "_text"], masks).join(F.broadcast(some), F.col("_seed") == F.col("seed")).select(
+            "doc_id", "_text", "item", (F.col("_at") - F.col("item_at")).alias("shift"),
+            F.greatest(F.col("item_at") - F.col("_at"), F.lit(0)).alias("skip"),
+            F.slice("_w", F.greatest(F.col("_at") - F.col("item_at"), F.lit(0)) + 1, F.col("size")).alias("text_words"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.dropDuplicates(["doc_id", "_text", "item", "shift"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stretch: int = STRETCH) -> DataFrame:
     """Return doc_id, item_id, item_words, stretch_words, matched and similarity: one row per text and item it holds.
 
     A text holds an item if at some alignment a stretch of min(item words, `stretch`) words agrees in at least
-    `similarity` of them; the row gives the best stretch. Null and empty texts and items of fewer than
-    five words hold nothing. Repeated rows give one result per id.
+    `similarity` of them; the row gives the best stretch. All are found for a similarity of 0.8 or more and the stated
+    stretch where that stretch is the whole item; in longer items, stretches that share a seed. Items of one to four words must
+    agree in all words. Null and empty texts and items hold nothing. Rows with equal ids are looked at one by one and
+    give the best result of each pair of ids; null ids are ids like others. Empty tables give no rows; columns other than id and
+    text are not read.
     """
-    items = benchmark.select(F.col("item_id").alias("item_id"), _hashed("text").alias("words")).filter("words IS NOT NULL")
-    seeds = _seeded(items, ["item_id"]).select(
-        F.col("_seed").alias("seed"), "item_id", F.col("_at").alias("item_at"), F.col("_w").alias("item_words")).distinct()
-    texts = docs.select(F.col("doc_id").alias("doc_id"), _hashed("text").alias("words")).filter("words IS NOT NULL")
-    places = _seeded(texts, ["doc_id"])
-    # item words that lie left of the text's first word are no part of the comparison
-    gap = F.greatest(F.col("item_at") - F.col("_at"), F.lit(0))
-    place = F.greatest(F.col("_at") - F.col("item_at"), F.lit(0))
-    if seeds.count() <= BROADCAST_SEEDS:
-        hits = places.join(F.broadcast(seeds), F.col("_seed") == F.col("seed")).select(
-            "doc_id", "item_id", (F.col("_at") - F.col("item_at")).alias("shift"), gap.alias("skip"), "item_words",
-            F.slice("_w", place + 1, F.size("item_words")).alias("text_words"))
-        hits = hits.dropDuplicates(["doc_id", "item_id", "shift"])
-    else:
-        found = places.select("doc_id", "_at", "_seed").join(
-            seeds.drop("item_words"), F.col("_seed") == F.col("seed")).select(
-            "doc_id", "item_id", (F.col("_at") - F.col("item_at")).alias("shift")).distinct()
-        hits = found.join(texts.dropDuplicates(["doc_id"]), "doc_id").join(
-            items.withColumnRenamed("words", "item_words").dropDuplicates(["item_id"]), "item_id").select(
-            "doc_id", "item_id", "shift", F.greatest(-F.col("shift"), F.lit(0)).alias("skip"), "item_words",
-            F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.size("item_words")).alias("text_words"))
+    key = F.xxhash64("item_id", "words").alias("item")
+    items = benchmark.select("item_id", _hashed("text").alias("words")).filter("words IS NOT NULL")
+    items = items.select(key, "item_id", "words").dropDuplicates(["item"])
+    seeds = written(_seeded(items, ["item"], list(range(len(ALL_MASKS))), _for_items).select(
+        F.col("_seed").alias("seed"), "item", F.col("_at").alias("item_at"), F.size("_w").alias("size"), "_mask").distinct(), "seeds")
+    masks = {r["_mask"]: r["count"] for r in seeds.groupBy("_mask").count().collect()}
+    blocks = -(-sum(masks.values()) // SEEDS_AT_ONCE)
+    texts = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_text"), _hashed("text").alias("words")).filter("words IS NOT NULL")
+    hits = _hits(texts, seeds.drop("_mask"), sorted(masks) or [0], max(blocks, 1))
+    hits = hits.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     length = F.least(F.size("item_words"), F.lit(stretch))
     agree = F.transform("item_words", lambda w, i: F.when(
         (i >= F.col("skip")) & (w == F.get(F.col("text_words"), i - F.col("skip"))), 1).otherwise(0))
