@@ -325,3 +325,19 @@ def test_held_out_accuracy(spark):
     got = [r for r in registered.op6_toxicity(spark, sf).collect() if r.held_out and toxic.get(r.doc_id) is not None]
     assert np.mean([toxic[r.doc_id] == r.predicted for r in got]) > 0.93
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+
+
+@pytest.mark.parametrize("piece", [1, 3, 64])
+def test_cuts_change_no_count(monkeypatch, piece):
+    rng = np.random.default_rng(1)
+    model = hmm._normal(rng.random(3), rng.random((3, 3)), rng.random((20, 3)) + 0.1)
+    sizes = rng.integers(1, 40, 30)
+    sizes[3] = 200
+    classes, keep = rng.integers(0, 20, sizes.sum()), rng.random(30) > 0.2
+    monkeypatch.setattr(hmm, "PIECE", 1_000)
+    whole = hmm.expected(model, classes, sizes, keep)
+    assert whole[3] == pytest.approx(hmm.forward(model, classes, sizes)[keep].sum())
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    monkeypatch.setattr(hmm, "STEP_TOKENS", 50)
+    for a, b in zip(whole, hmm.expected(model, classes, sizes, keep)):
+        assert np.allclose(a, b)
