@@ -18,11 +18,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from urlvane.llm.language_id import _code_points, _letters
-from urlvane.llm.shared import in_slices, remainder, row_of, utf8
+from urlvane.llm.shared import in_slices, remainder, row_of, written
 
 #: Labelled documents per class that the lexicon and the model are fitted on; the first by a hash of the id.
 FIT_ROWS = 5000
-MAX_TERMS = 300
+#: Files that the texts of those documents are written to, so that as many tasks share the fit.
+FIT_FILES = 16
 #: A term is in this part of the toxic documents at least ...
 MIN_SUPPORT = 0.004
 #: ... and so many times as frequent there as in the others.
@@ -128,6 +129,14 @@ def match_words(auto: Automaton, points: np.ndarray, start: np.ndarray, end: np.
     return state
 
 
+def _inside_quotes(text: str, places: np.ndarray) -> np.ndarray:
+    """Whether an odd number of quotation marks stands between the line's beginning and each place."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum(np.isin(points, [ord(q) for q in QUOTES]))])
+    line = np.concatenate([[0], np.flatnonzero(points == 10) + 1])
+    return (before[places] - before[line[np.searchsorted(line, places, side="right") - 1]]) % 2 == 1
+
+
 def _features(auto: Automaton, part: pa.RecordBatch) -> np.ndarray:
     """Per row: exact and edited weight, quoted matches, densest window, rate, addressed matches, length."""
     column = part.column("text")
@@ -146,15 +155,14 @@ def _features(auto: Automaton, part: pa.RecordBatch) -> np.ndarray:
     out[:, 0] = np.log1p(np.bincount(of[~edited], weight[~edited], minlength=n))
     out[:, 1] = np.log1p(np.bincount(of[edited], weight[edited], minlength=n))
     word = lambda i: "".join(map(chr, points[start[i]:end[i]]))
-    texts: dict[int, str] = {}
+    open_quote = np.zeros(len(hits), bool)
+    for row in np.unique(of):
+        own = slice(*np.searchsorted(of, [row, row + 1]))
+        open_quote[own] = _inside_quotes(column[int(row)].as_py(), start[hits[own]] - starts[row] - 1)
     for at, i in enumerate(hits):
         row = of[at]
-        if row not in texts:
-            texts[row] = column[int(row)].as_py()
-        place = int(start[i] - starts[row]) - 1
-        line = texts[row][texts[row].rfind("\n", 0, place) + 1:place]
         near = range(max(first[row], i - WINDOW_WORDS), min(first[row + 1], i + WINDOW_WORDS + 1))
-        quoted = sum(line.count(q) for q in QUOTES) % 2 == 1 or any(word(k) in REPORTING for k in near if i - 4 <= k < i)
+        quoted = open_quote[at] or any(word(k) in REPORTING for k in near if i - 4 <= k < i)
         out[row, 2] += quoted
         out[row, 5] += any(word(k) in SECOND_PERSON for k in near if abs(k - i) <= 4)
         lo, hi = np.searchsorted(hits, [near.start, near.stop])
@@ -166,9 +174,10 @@ def _features(auto: Automaton, part: pa.RecordBatch) -> np.ndarray:
 
 
 def learn_terms(rows: DataFrame) -> dict[str, float]:
-    """Terms and weights (log odds) from rows of text and toxic (0 or 1): at most MAX_TERMS.
+    """Terms and weights (log odds) from rows of text and toxic (0 or 1): all with the support and the odds.
 
-    Counts are of documents. A beginning of words is dropped where one longer term accounts for it.
+    Counts are of documents. A beginning of words is dropped where longer terms account for it, and a term
+    where a beginning of it is taken.
     """
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -181,7 +190,7 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     odds = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1))
     found = counts.filter(F.col("t") >= max(3, MIN_SUPPORT * bad)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-    best = found.orderBy((F.col("t") - 5 * F.col("c")).desc(), F.length("term").desc(), "term").limit(8 * MAX_TERMS).collect()
+    best = found.collect()  # few: each is in a stated part of a bounded sample
     # whole words and longer beginnings first among equals, so that the narrowest reading of the data is taken
     order = sorted(best, key=lambda r: (-(r.t - 5 * r.c), r.term.endswith("*"), -len(r.term), r.term))
     taken: dict[str, tuple[float, int]] = {}
@@ -189,27 +198,45 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
         bare = r.term.rstrip("*")
         covered = any(bare.startswith(k[:-1]) for k in taken if k.endswith("*"))
         explained = r.term.endswith("*") and sum(t for k, (_, t) in taken.items() if k.startswith(bare)) >= 0.9 * r.t
-        if not covered and not explained and len(taken) < MAX_TERMS:
+        if not covered and not explained:
             taken[r.term] = (float(np.log(r.odds)), r.t)
     return {k: v for k, (v, _) in taken.items()}
 
 
-def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Return doc_id and score (0 to 1) for every row of docs; labelled has text and toxic.
+def fitted_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """text and toxic of the documents that are fitted, and the number of labelled documents per class.
 
-    At most FIT_ROWS labelled rows of each class (the first by a hash of their text) are fitted. Rows with a
-    null text or label are not fitted. Null and empty texts get the probability of a text without a match.
-    Without rows of both classes the score is the share of toxic ones among the labelled (0 if there are none).
+    They are chosen from labels alone, by a hash of the id, FIT_ROWS per class, and only their texts are read and
+    written. Ids of no document, null ids and labels other than 0 and 1 do not count; a repeated id counts once, as
+    toxic if one of its labels is, with the smallest of its texts.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = written(known, "toxicity-labels")
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    first = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for c in (0, 1)]
+    chosen = first[0].unionByName(first[1])
+    # at most 2 * FIT_ROWS ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL")
+    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(FIT_FILES, "doc_id")
+    return written(sample.select("toxic", "text"), "toxicity-sample"), n
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Return doc_id and score (0 to 1) for every row of docs; labels has doc_id and toxic.
+
+    At most FIT_ROWS labelled documents of each class (the first by a hash of their id) are fitted. Documents with
+    a null text or label are not fitted. Null and empty texts get the probability of a text without a match; equal
+    texts get equal scores. Without texts of both classes the score is the share of toxic ones among the labelled
+    (0 if there are none). An empty table gives no rows; other columns are not read.
     """
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).filter("text IS NOT NULL AND toxic IN (0, 1)")
-    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
+    sample, n = fitted_rows(docs, labels)
+    fitted = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(sum(n.values()), 1)
-    if len(n) < 2:
+    if len(fitted) < 2:
         return texts.select("doc_id", F.lit(float(share)).alias("score"))
-    order = F.xxhash64("text")
-    sample = rows.filter("toxic = 1").orderBy(order).limit(FIT_ROWS).unionByName(rows.filter("toxic = 0").orderBy(order).limit(FIT_ROWS))
     terms = learn_terms(sample)
     shared = docs.sparkSession.sparkContext.broadcast(build_automaton(terms))
 
@@ -218,8 +245,7 @@ def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [part.column(0), pa.array(values.tolist(), pa.list_(pa.float64()))], [part.schema.names[0], "features"])
 
-    # classes weigh as they do among all labelled rows
-    fitted = {c: min(v, FIT_ROWS) for c, v in n.items()}
+    # classes weigh as they do among all labelled documents
     weight = F.when(F.col("toxic") == 1, n[1] / fitted[1]).otherwise(n[0] / fitted[0])
     train = sample.select("toxic", "text").mapInArrow(in_slices(measured), "toxic int, features array<double>")
     train = train.select(F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features"), weight.alias("weight"))
@@ -235,7 +261,6 @@ def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labels outside the held-out fold (crc32 of the id modulo 4 is 2) and score all documents."""
-    known = labels.filter(remainder("doc_id", 4) != 2).select("doc_id", "toxic")
-    found = score(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    found = score(docs, labels.filter(remainder("doc_id", 4) != 2))
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
