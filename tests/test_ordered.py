@@ -177,3 +177,12 @@ def test_guarded_lookup(spark, ranges, limit, errors):
     found = guards.guarded_lookup(log, limit, 3000, ["g"])
     assert found.columns == [*log.columns, "decision"]
     assert {r.seq: r.decision for r in found.collect()} == guarded(rows, limit, 3000)
+
+
+def test_decisions_are_not_broadcast(spark):
+    """Files of a row per lookup compress below Spark's limit for broadcasts however many lookups there are."""
+    rows = [("g", "u", 60 * i, i, "none", 900) for i in range(200)]
+    log = spark.createDataFrame(rows, "provider string, url string, ts long, seq long, outcome string, ttl long")
+    found = guards.guarded_lookup(log, 100, 3000, ["g"])
+    assert "SortMergeJoin [seq" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.seq: r.decision for r in found.collect()} == guarded(rows, 100, 3000)

@@ -201,7 +201,7 @@ def guarded_lookup(log: DataFrame, limit: int, cooldown_s: int, guarded: list[st
                 "_part", "provider", "_key", F.last("_value", ignorenulls=True).over(before("_key")).alias("_until_in"))
             entered = (
                 rows.join(circuit, ["_part", "provider"], "left").join(calls, ["_part", "provider", "month"], "left")
-                .join(answers.filter("_until_in IS NOT NULL"), ["_part", "provider", "_key"], "left")
+                .join(answers.filter("_until_in IS NOT NULL").hint("merge"), ["_part", "provider", "_key"], "left")
             )
         elif used.limit(1).count():
             entered = rows.join(used.withColumnRenamed("used", "_used_in"), ["provider", "month"], "left").withColumns(
@@ -222,4 +222,5 @@ def guarded_lookup(log: DataFrame, limit: int, cooldown_s: int, guarded: list[st
     found = walked.filter("_kind = 'row'").select(F.col("_row").alias(seq), "decision")
     plain = cache_replay(log.filter(~is_guarded), ["provider", "url"], ts, seq, "ttl", error)
     plain = plain.withColumn("decision", F.when(F.col("cache_hit"), "cache_hit").when(error, "error").otherwise("called")).drop("cache_hit")
-    return plain.unionByName(log.filter(is_guarded).join(found, seq))
+    # decisions are as many as lookups, but their files so small that Spark would broadcast them
+    return plain.unionByName(log.filter(is_guarded).join(found.hint("merge"), seq))
