@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -341,3 +342,36 @@ def test_cuts_change_no_count(monkeypatch, piece):
     monkeypatch.setattr(hmm, "STEP_TOKENS", 50)
     for a, b in zip(whole, hmm.expected(model, classes, sizes, keep)):
         assert np.allclose(a, b)
+
+
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Many edits of one text: all links found, though few pairs are compared and most lie just under the threshold."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        source = rng.choice(texts).split() if i % 8 == 7 else base
+        edited = list(source)
+        for at in rng.sample(range(150), rng.choice([1, 4, 6, 7]) if source is base else 2):
+            edited[at] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(edited))
+    tested = []
+    plain = near_duplicates.written
+
+    def counted(df, name):
+        table = plain(df, name)
+        tested.extend([table.count()] * (name == "pairs"))
+        return table
+
+    monkeypatch.setattr(near_duplicates, "written", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame, words=4).collect()}
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    component = list(range(len(sets)))
+    for y in range(len(sets)):
+        for x in range(y):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and component[x] != component[y]:
+                low, high = sorted((component[x], component[y]))
+                component = [low if c == high else c for c in component]
+    assert [got[i] for i in range(len(texts))] == component
+    assert 1 < len(set(component)) < len(texts) and tested[-1] < 5 * len(texts)

@@ -7,8 +7,9 @@ class; texts that share a key are candidates and are confirmed on their full set
 
 Pairs are taken from a key only if their sizes leave room for the similarity and if a sketch of one bit
 per minhash does not rule it out. Nobody is compared with everybody: in each round a text is compared
-with single members of a few of its keys. Rounds go on while they find many links; then all that share a
-key and are still in different components are compared, so no link that matters to a component is lost.
+with single members of a few of its keys. Rounds go on while they find many links. What is then still apart is told apart by
+how it differs from its group (see `_apart`), so no link that matters to a component is lost and a large group
+of texts near the threshold is not compared all with all.
 """
 
 from __future__ import annotations
@@ -122,6 +123,83 @@ def _members(heads: DataFrame) -> DataFrame:
     return members
 
 
+def _items():
+    """Rows group and item: every shingle of every text."""
+    def run(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            groups = np.repeat(batch.column("group").to_numpy(), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], ["group", "item"])
+
+    return run
+
+
+def _differences():
+    """The text's shingles that are not usual in its group, and the usual ones that it lacks."""
+    def run(batches):
+        for batch in batches:
+            usual = batch.column("usual")
+            parts = [np.setxor1d(np.frombuffer(x, np.int64), np.array(u or [], np.int64))
+                     for x, u in zip(batch.column("shingles").to_pylist(), usual.to_pylist())]
+            sizes = np.array([len(x) for x in parts], np.int64)
+            items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                             pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            kept = ["group", "node", "component", "n_shingles"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sizes), items], [*kept, "size", "items"])
+
+    return run
+
+
+def _apart(still: DataFrame, shingles: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs a, b among which are links enough to join all components that links between texts of a key join, and scratch tables.
+
+    Texts that keys connect are a group, and the shingles that more than half of it have are its usual ones. D(x) is what x differs
+    in from those, so x and y differ in what D(x) and D(y) do not share. With p percent they are linked if they differ in at most
+    (100 - p) / (100 + p) * (|x| + |y|) shingles. Let S(x) = (100 + p) |D(x)| - (100 - p) |x|.
+
+    * If S(x) + S(y) <= 0 they are linked whatever they share. Both are then linked with the text of least S, too:
+      one pair for each text on this side of it says all.
+    * Else they must share at least (S(x) + S(y)) / (2 (100 + p)) of their differences. The first one they share, the rarest
+      coming first, leaves that many in both. Differences that only one text has are no first one; as they come first, little
+      of what many texts share is left to look at.
+    """
+    low = still.groupBy("key").agg(F.min("node").alias("b"))
+    groups = components(still.select("key", "node").join(low, "key").select(F.col("node").alias("a"), "b"))
+    open_texts = still.select("node", "n_shingles", "component").distinct()
+    texts = written(open_texts.join(groups.select(F.col("id").alias("node"), F.col("component").alias("group")), "node").join(shingles, "node"), "grouped")
+    sizes = texts.groupBy("group").agg(F.count("*").alias("texts"))
+    counts = texts.select("group", "shingles").mapInArrow(_items(), "group long, item long").groupBy("group", "item").agg(F.count("*").alias("n"))
+    # at most twice the mean number of shingles of the group's texts
+    usual = counts.join(sizes, "group").filter("2 * n > texts").groupBy("group").agg(F.collect_list("item").alias("usual"))
+    found = written(texts.join(usual, "group", "left").mapInArrow(
+        _differences(), "group long, node long, component long, n_shingles long, size long, items array<long>"), "differences")
+    up, down = 100 + percent, 100 - percent
+    placed = found.select("group", "node", "component", "n_shingles", "size", (up * F.col("size") - down * F.col("n_shingles")).alias("s"))
+    best = placed.groupBy("group").agg(F.min(F.struct("s", "node", "component")).alias("best"))
+    placed = placed.join(best, "group")
+    near = placed.filter((F.col("s") + F.col("best.s") <= 0) & (F.col("component") != F.col("best.component"))).select(
+        F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
+    each = found.select("group", "node", F.explode("items").alias("item"))
+    shared = each.groupBy("group", "item").agg(F.count("*").alias("n")).filter("n > 1")
+    ranks = each.join(shared, ["group", "item"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+    ranked = placed.join(ranks, "node").select(
+        "group", "node", "component", "n_shingles", "s", F.col("best.s").alias("least"), (F.size("ranked")).alias("common"), F.posexplode("ranked").alias("at", "one"))
+    # how many differences come from this one on; those of one text only come before all
+    ranked = written(ranked.select("group", F.col("one.item").alias("item"), "node", "component", "n_shingles", "s", "least",
+                                   (F.col("common") - F.col("at")).alias("left")).join(
+        found.select("node", "size"), "node"), "ranked")
+    value = F.struct("node", "component", "n_shingles", "s", "left")
+    own = ranked.filter(2 * up * F.col("left") > F.col("s") - F.col("least")).select("group", "item", value.alias("own"))
+    other = ranked.filter((F.col("s") + F.col("least") > 0) & (percent * (F.col("size") - F.col("left")) <= down * F.col("n_shingles"))).select(
+        "group", "item", value.alias("other"))
+    pairs = own.join(other, ["group", "item"]).filter(
+        (F.col("own.component") != F.col("other.component"))
+        & (2 * up * F.least("own.left", "other.left") >= F.col("own.s") + F.col("other.s"))
+        & (100 * F.least("own.n_shingles", "other.n_shingles") >= percent * F.greatest("own.n_shingles", "other.n_shingles")))
+    pairs = pairs.select(F.least("own.node", "other.node").alias("a"), F.greatest("own.node", "other.node").alias("b"))
+    return pairs.union(near).distinct(), [texts, found, ranked]
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Return doc_id, n_shingles, component_id and kept for every row of doc_id (whole number) and text.
 
@@ -170,10 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = pairs.groupBy(F.col("own.node").alias("node"), F.pmod(F.xxhash64("other.node"), F.lit(HUBS))).agg(F.min(F.struct("other.order", "other.node")).alias("other"))
             pairs = pairs.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
         else:
-            # what is still apart: each member with those of other components
-            other = own.withColumnRenamed("own", "other")
-            pairs = own.join(other, (own["key"] == other["key"]) & (F.col("own.component") < F.col("other.component")) & _may_link("own", "other", percent))
-            pairs = pairs.select(F.least("own.node", "other.node").alias("a"), F.greatest("own.node", "other.node").alias("b")).distinct()
+            pairs, used = _apart(still, shingles, percent)
+            scratch += used
         pairs = written(pairs, "pairs")
         new = written(confirmed(pairs), "links")
         count = new.count()
