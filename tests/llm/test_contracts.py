@@ -5,16 +5,19 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from urlvane.llm import byte_bpe, decontaminate, hmm, line_templates, near_duplicates, nearest, suffix_dedup, token_counts
+from urlvane.llm import byte_bpe, decontaminate, hmm, line_templates, near_duplicates, nearest, shared, suffix_dedup, token_counts
 from urlvane.llm import queries as registered
 from urlvane.llm.components import components
 
@@ -375,3 +378,18 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
                 component = [low if c == high else c for c in component]
     assert [got[i] for i in range(len(texts))] == component
     assert 1 < len(set(component)) < len(texts) and tested[-1] < 5 * len(texts)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The pipeline's near_dedup filled the disk with the shuffle files of its many rounds."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f.name for folder in folders for f in Path(folder.getPath()).glob("*/shuffle_*.data")}
+    before, name = files(), spark.conf.get(shared.CLEANUP)
+    table = shared.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(shared.CLEANUP) == name
+    assert {r.k: r["count"] for r in table.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
