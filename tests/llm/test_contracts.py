@@ -393,3 +393,45 @@ def test_written_leaves_no_shuffle_files(spark):
     assert not files() - before
     assert spark.conf.get(shared.CLEANUP) == name
     assert {r.k: r["count"] for r in table.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+
+
+@pytest.mark.parametrize("signs, block", [(2, 7), (2, 1 << 15), (200, 16)])
+def test_anchors_and_repeated_grams(monkeypatch, signs, block):
+    """Against plain loops: each window's anchor, and the places of grams that two texts hold."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = np.random.default_rng(signs)
+    texts = [bytes(rng.integers(33, 33 + signs, n, dtype=np.uint8)) for n in (0, 9, 10, 40, 3, 25)]
+    texts += [texts[3][5:30] + texts[5], texts[3]]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    length, gram = 10, 6
+    hashes = suffix_dedup.gram_hashes(data, gram)
+    places, found, rows, own = suffix_dedup.anchors(data, offsets, length, gram)
+    drop = np.uint64(7)
+    expected = np.full(len(data), -1)
+    for a, b in zip(offsets, offsets[1:]):
+        for i in range(a, b - length + 1):
+            expected[i] = min(range(i, i + length - gram + 1), key=lambda j: (hashes[j] & ~drop, j))
+    assert own.tolist() == expected.tolist()
+    assert places.tolist() == sorted(set(expected.tolist()) - {-1})
+    assert found.tolist() == hashes[places].tolist()
+    assert all(offsets[r] <= p < offsets[r + 1] for p, r in zip(places, rows))
+    frame = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array([x.decode("latin-1") for x in texts])})
+    if signs == 2:  # one byte a sign
+        blobs = pa.Table.from_batches(list(suffix_dedup._anchor_blobs(length, gram, 1)(iter([frame]))))
+        got = {r["doc_id"]: sorted(r["places"]) for r in suffix_dedup._repeated(blobs).to_pylist()}
+        holders = {}
+        for p, r in zip(places, rows):
+            if r != 7:  # a copy adds nothing
+                holders.setdefault(bytes(data[p:p + gram]), set()).add(r)
+        want = {}
+        for p, r in zip(places, rows):
+            if r != 7 and len(holders[bytes(data[p:p + gram])]) > 1:
+                want.setdefault(int(r), []).append(int(p - offsets[r]))
+        assert got == want and got
+
+
+def test_suffix_merge_of_empty_runs():
+    assert list(suffix_dedup.merge_runs([])) == list(suffix_dedup.merge_runs([([], [], [])] * 3)) == []
+    runs = [([], [], []), ([b"aa", b"ab"], [0, 1], [5, 6]), ([b"aa"], [0], [3])]
+    assert [(sorted(g), low) for g, low in suffix_dedup.merge_runs(runs)] == [([(1, 0), (2, 0)], 3), ([(1, 1)], 6)]
