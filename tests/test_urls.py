@@ -195,6 +195,16 @@ def test_page_flags(spark):
     assert got[5] == got[6] == (1, 1, 1, 1) and got[7] == (1, 0, 1, 0)
 
 
+def test_page_join_reads_pages_of_any_size(spark):
+    filler = "x" * (1024 * 1024)
+    bodies = {"small": "0", "large": filler + "<script>a onmouseover b</script>\nif (event.button == 2)", "calm": "\n" * (1024 * 1024 + 1), "none": None}
+    pages = spark.createDataFrame(list(bodies.items()), "url string, html string")
+    urls_ = spark.createDataFrame([(u,) for u in [*bodies, "unknown"]], "url string")
+    flags = ["iframe", "mouse_over", "right_click", "web_forwards"]
+    got = {r.url: tuple(r[f] for f in flags) for r in features.page_join(urls_, pages).collect()}
+    assert got == {"small": (1, 0, 1, 0), "large": (0, 1, 0, 0), "calm": (1, 0, 1, 0), "none": (1, 1, 1, 1), "unknown": (1, 1, 1, 1)}
+
+
 def test_registration_date_texts(spark):
     df = spark.createDataFrame([("2024-01-05",), ("2024-01-05 10:20:30",), ("2024-01-05 10:20:30.5Z",), ("Jan 5",), (None,)], "d string")
     got = [r.x for r in df.select(features.registration_date(F.col("d")).cast("string").alias("x")).collect()]
