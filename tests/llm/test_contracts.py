@@ -435,3 +435,45 @@ def test_suffix_merge_of_empty_runs():
     assert list(suffix_dedup.merge_runs([])) == list(suffix_dedup.merge_runs([([], [], [])] * 3)) == []
     runs = [([], [], []), ([b"aa", b"ab"], [0, 1], [5, 6]), ([b"aa"], [0], [3])]
     assert [(sorted(g), low) for g, low in suffix_dedup.merge_runs(runs)] == [([(1, 0), (2, 0)], 3), ([(1, 1)], 6)]
+
+
+def test_anchors_in_many_buckets_stay_small(monkeypatch):
+    """Dealt out to twenty times the buckets, anchors take less than twice the bytes, and the same grams are repeated."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, 3000))) for _ in range(700)]
+    texts[9] = texts[3][:1000] + texts[9][1000:]
+    frame = pa.record_batch({"doc_id": pa.array(range(700), pa.int64()), "text": pa.array(texts)})
+
+    def dealt(buckets):
+        return [b for b in suffix_dedup._anchor_blobs(50, 34, buckets)(iter([frame])) if b.num_rows]
+
+    def size(batches):
+        return sum(len(x) for b in batches for name in b.schema.names if name != "bucket" for x in b.column(name).to_pylist())
+
+    few, many = dealt(50), dealt(1000)
+    assert size(many) < 2 * size(few)
+
+    def places(batches):
+        table, out = pa.Table.from_batches(batches), set()
+        for b in set(table.column("bucket").to_pylist()):
+            found = suffix_dedup._repeated(table.filter(pa.compute.equal(table.column("bucket"), b)))
+            out |= {(r["doc_id"], p) for r in found.to_pylist() for p in r["places"]}
+        return out
+
+    assert places(few) == places(many) and {d for d, _ in places(few)} == {3, 9}
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1)
+    assert places(dealt(50)) == places(few)
+
+
+def test_suffix_dedup_merges_in_passes(frame, monkeypatch):
+    """The passes that share out the ranges find the same, and leave no tables behind but digests, copies, repeated suffixes and spans."""
+    want = by_id(suffix_dedup.kept_bytes(frame))
+    made, gone = [], []
+    monkeypatch.setattr(suffix_dedup, "RANGE_SUFFIXES", 20)
+    monkeypatch.setattr(suffix_dedup, "PASS_RANGES", 2)
+    write, discard = suffix_dedup.written, suffix_dedup.discard
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: made.append(name) or write(df, name))
+    monkeypatch.setattr(suffix_dedup, "discard", lambda *tables: gone.extend(tables) or discard(*tables))
+    assert by_id(suffix_dedup.kept_bytes(frame)) == want
+    assert max(made.count("smallest-ids"), made.count("later-suffixes")) > 2
+    assert len(made) - len(gone) == made.count("repeated-suffixes") + 3
